@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plumbframe.llm import bpe, licenses, mixing
+from plumbframe.llm import bpe, licenses, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_bpe_counts": bpe.op5_bpe_counts,
+    "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
 }
 
