@@ -64,8 +64,11 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, row) of each word of a chunk, in order; A-Z count as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, start, end, row) of each word of a chunk, in order; A-Z count as a-z.
+
+    With prefixes, also (hash, row) of the beginnings of those lengths in bytes, of the words that are longer.
+    """
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
     inside[1:-1] = kind[data]
@@ -80,7 +83,15 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tu
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((LOWER[data] + np.uint64(1)) * power[:n], out=sums[1:])
     h = mix((sums[end] - sums[start]) * inverse[start])
-    return h, start, end, np.searchsorted(offsets, start, "right") - 1
+    row = np.searchsorted(offsets, start, "right") - 1
+    if not prefixes:
+        return h, start, end, row
+    begins, rows = [], []
+    for k in prefixes:
+        long = np.flatnonzero(end - start > k)
+        begins.append(mix((sums[start[long] + k] - sums[start[long]]) * inverse[start[long]] + np.uint64(k << 56)))
+        rows.append(row[long])
+    return h, start, end, row, np.concatenate(begins), np.concatenate(rows)
 
 
 def distinct_buckets(h: np.ndarray, row: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

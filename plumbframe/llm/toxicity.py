@@ -29,6 +29,9 @@ from plumbframe.llm.common import table
 BUCKETS = 1 << 17
 SEED = "plumbframe-pu-1"
 
+#: Bytes of a word's beginning that are inputs too, so that unseen words of a known stem count.
+PREFIXES = (4, 5, 6)
+
 
 @dataclass
 class LinearModel:
@@ -41,10 +44,10 @@ class LinearModel:
 
 
 def hashed_rows(batch: pa.RecordBatch, text: str, buckets: int = BUCKETS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row, bucket) of each chunk of a batch."""
+    """(first row, rows, row, bucket) of each chunk of a batch: its words, and the beginnings of its words."""
     for at, data, offsets in hashing.chunks(batch.column(text)):
-        h, _, _, row = hashing.words(data, offsets)
-        yield at, len(offsets) - 1, *hashing.distinct_buckets(h, row, buckets)
+        h, _, _, row, begin, begin_row = hashing.words(data, offsets, prefixes=PREFIXES)
+        yield at, len(offsets) - 1, *hashing.distinct_buckets(np.concatenate((h, begin)), np.concatenate((row, begin_row)), buckets)
 
 
 def sample_buckets(rows: DataFrame, n: int, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), seed: str = SEED, buckets: int = BUCKETS) -> list[tuple]:
@@ -83,6 +86,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     place[known] = np.arange(len(known))
     rp, bp, ru, bu = rp[place[bp] >= 0], place[bp[place[bp] >= 0]], ru[place[bu] >= 0], place[bu[place[bu] >= 0]]
     n_p, n_u, d = len(positive), len(unlabelled), len(known)
+    l1 *= max(1.0, (600 / n_p) ** 0.5)  # few examples: fewer weights
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = bias
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
