@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbframe.llm.common import hash_unit, running_totals, table, word_count
+from plumbframe.llm.common import durable, hash_unit, running_totals, table, word_count
 
 SEED = "plumbframe-mix-1"
 
@@ -45,7 +45,9 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
     """docs with <prefix>size, <prefix>source_size, <prefix>target and <prefix>copies (0 or more)."""
     targets = source_targets(docs, size=word_count(F.col(text)), source=source, weights=weights, budget=budget, max_repeats=max_repeats)
     targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"))
-    # No hint: below the broadcast threshold the sources are broadcast, beyond it adaptive execution splits a hot source.
+    # Written out, so that its size is known when the join is planned: below the broadcast threshold the sources are broadcast and the
+    # texts stay where they are; beyond it both sides are shuffled and adaptive execution splits a hot source.
+    targets = durable(targets, "targets")
     joined = docs.join(targets, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
     rate = F.when(F.col("_mix_size") > 0, F.col("_mix_target") / F.col("_mix_size")).otherwise(F.lit(0.0))
     coin = hash_unit(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.col(text)))
