@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from plumbframe.llm import bpe, licenses, mixing, quality, toxicity
+from plumbframe.llm import bpe, licenses, mixing, quality, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_warc": warc.op4_warc,
     "op5_bpe_counts": bpe.op5_bpe_counts,
+    "op6_topk": topk.op6_topk,
+    "op7_secrets": secrets.op7_secrets,
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
+    "op4_warc": warc.ORACLE,
+    "op6_topk": topk.ORACLE,
 }
