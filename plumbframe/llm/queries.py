@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbframe.llm import bpe, licenses, mixing, quality, secrets, topk, toxicity, warc
+from plumbframe.llm import bpe, jaccard, licenses, mixing, quality, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe_counts": bpe.op5_bpe_counts,
     "op6_topk": topk.op6_topk,
     "op7_secrets": secrets.op7_secrets,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
 }
