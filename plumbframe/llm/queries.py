@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbframe.llm import bpe, jaccard, licenses, mixing, quality, secrets, topk, toxicity, warc
+from plumbframe.llm import bpe, decontam, jaccard, licenses, mixing, quality, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_decontam": decontam.op3_decontam,
     "op4_warc": warc.op4_warc,
     "op5_bpe_counts": bpe.op5_bpe_counts,
     "op6_topk": topk.op6_topk,
