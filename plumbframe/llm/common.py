@@ -69,3 +69,14 @@ def hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) fixed by the parts: the first 52 bits of their MD5."""
     key = F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x1e")) for p in parts])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+def sampled_ids(rows: DataFrame, doc_id: str, n: int, seed: str) -> DataFrame:
+    """The n ids of smallest hash (fewer, if there are fewer), in a column _id: n rows at most, whatever the input.
+
+    Rows far above the nth smallest hash are filtered out before anything is ordered, so no task sends much more than its share of n.
+    """
+    ids = rows.select(F.col(doc_id).alias("_id")).filter(F.col("_id").isNotNull())
+    total = ids.count()
+    u = hash_unit(F.lit(seed), F.col("_id"))
+    return ids.withColumn("_u", u).filter(F.col("_u") <= min(1.0, (1.5 * n + 100) / max(total, 1))).distinct().orderBy("_u", "_id").limit(n).select("_id")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import table
+from plumbframe.llm.common import sampled_ids, table
 
 BUCKETS = 1 << 17
 SEED = "plumbframe-pu-1"
@@ -50,11 +50,10 @@ def hashed_rows(batch: pa.RecordBatch, text: str, buckets: int = BUCKETS) -> Ite
         yield at, len(offsets) - 1, *hashing.distinct_buckets(np.concatenate((h, begin)), np.concatenate((row, begin_row)), buckets)
 
 
-def sample_buckets(rows: DataFrame, n: int, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), seed: str = SEED, buckets: int = BUCKETS) -> list[tuple]:
-    """Of the n rows of smallest hash: the columns of keep and the distinct buckets. Bounded by n; the texts stay on the executors."""
-    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    some = rows.select(order.alias("_order"), F.col(text).alias("_text"), *keep).orderBy("_order").limit(n).drop("_order")
-    schema = ", ".join([f"{c} {some.schema[c].dataType.simpleString()}" for c in keep] + ["buckets binary"])
+def buckets_of(rows: DataFrame, ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[np.ndarray]:
+    """The distinct buckets of each row whose id is among ids, a bounded sample; the texts stay on the executors."""
+    # Broadcast: sampled_ids bounds the ids.
+    some = rows.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull() & (F.col("_text") != "")).join(F.broadcast(ids), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,9 +61,10 @@ def sample_buckets(rows: DataFrame, n: int, *, doc_id: str = "doc_id", text: str
             for _, rows_here, row, bucket in hashed_rows(b, "_text", buckets):
                 cut = np.searchsorted(row, np.arange(rows_here + 1))
                 out += [bucket[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(rows_here)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.binary())], [*keep, "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out, pa.binary())], ["_id", "buckets"])
 
-    return [tuple(r[:-1]) + (np.frombuffer(r[-1], np.uint32).astype(np.int64),) for r in some.mapInArrow(run, schema).collect()]
+    got = some.mapInArrow(run, f"_id {some.schema['_id'].dataType.simpleString()}, buckets binary").dropDuplicates(["_id"]).orderBy("_id").collect()
+    return [np.frombuffer(r[1], np.uint32).astype(np.int64) for r in got]
 
 
 def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,28 +119,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
         n, ones = known.agg(F.count(F.lit(1)), F.sum((F.col("_label") == 1).cast("long"))).first()
         prior = (ones or 0) / n if n else 0.0
     confirmed = known.filter(F.col("_label") == 1).select("_label_id").distinct()
-    texts = docs.select(F.col(doc_id), F.col(text)).filter(F.col(text).isNotNull() & (F.col(text) != ""))
-    positive = texts.join(confirmed, F.col(doc_id) == F.col("_label_id"), "left_semi")
-    p = [r[-1] for r in sample_buckets(positive, max_positive, doc_id=doc_id, text=text)]
+    p = buckets_of(docs, sampled_ids(confirmed, "_label_id", max_positive, SEED), doc_id=doc_id, text=text)
     # Unlabelled: any text, whatever its label; the correction by the prior is for just that.
-    u = [r[-1] for r in sample_buckets(texts, max_unlabelled, doc_id=doc_id, text=text, seed=SEED + "u")]
+    u = buckets_of(docs, sampled_ids(docs, doc_id, max_unlabelled, SEED + "u"), doc_id=doc_id, text=text)
     return train_nnpu(p, u, prior)
 
 
 def score_toxicity(docs: DataFrame, model: LinearModel, *, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (default all) and the score of each row."""
     keep = docs.columns if keep is None else keep
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_tox_text"))
+    read = text if text in keep else "_tox_text"
+    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
     # 1 MB, whatever the input.
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            out = [m.scores(row, bucket, rows) for _, rows, row, bucket in hashed_rows(b, "_tox_text")]
+            out = [m.scores(row, bucket, rows) for _, rows, row, bucket in hashed_rows(b, read)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, score])
 
-    schema = inputs.drop("_tox_text").schema.add(score, "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(score, "double")
     return inputs.mapInArrow(run, schema)
 
 
