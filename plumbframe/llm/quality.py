@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import table
+from plumbframe.llm.common import sampled_ids, table
 from plumbframe.llm.toxicity import held_out
 
 WORD_BUCKETS = 1 << 14
@@ -154,10 +154,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     """Train from the labels given (leave held-out rows out of them)."""
     known = labels.select(F.col(doc_id).alias("_label_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1)).dropDuplicates(["_label_id"])
     counts = dict(known.groupBy("_label").count().collect())  # two rows
-    rows = docs.select(doc_id, text, *meta).filter(F.col(text).isNotNull()).join(known, F.col(doc_id) == F.col("_label_id"))
-    order = F.md5(F.concat(F.lit(SEED), F.col(doc_id).cast("string")))
-    parts = [rows.filter(F.col("_label") == y).select(order.alias("_order"), F.col(text).alias("_text"), *[F.col(c).alias(f"_meta{i}") for i, c in enumerate(meta)], "_label").orderBy("_order").limit(max_rows // 2) for y in (0, 1)]
-    some = parts[0].unionByName(parts[1]).drop("_order")
+    ids = [sampled_ids(known.filter(F.col("_label") == y), "_label_id", max_rows // 2, SEED) for y in (0, 1)]
+    chosen = ids[0].withColumn("_label", F.lit(0)).unionByName(ids[1].withColumn("_label", F.lit(1)))
+    # Broadcast: sampled_ids bounds the ids.
+    some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_meta{i}") for i, c in enumerate(meta)]).filter(F.col("_text").isNotNull()).join(F.broadcast(chosen), "_id")
     names = tuple(f"_meta{i}" for i in range(len(meta)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +167,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
                 cut = np.searchsorted(row, np.arange(len(n) + 1))
                 numbers += [x.tobytes() for x in n]
                 buckets += [bucket[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(len(n))]
-            yield pa.RecordBatch.from_arrays([b.column("_label"), pa.array(numbers, pa.binary()), pa.array(buckets, pa.binary())], ["label", "numbers", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_label"), pa.array(numbers, pa.binary()), pa.array(buckets, pa.binary())], ["_id", "label", "numbers", "buckets"])
 
-    got = some.mapInArrow(run, "label int, numbers binary, buckets binary").collect()  # max_rows at most
+    got = some.mapInArrow(run, f"_id {some.schema['_id'].dataType.simpleString()}, label int, numbers binary, buckets binary").dropDuplicates(["_id"]).orderBy("_id").drop("_id").collect()  # max_rows at most
     k = len(STATS) + len(meta)
     label_of = np.array([r[0] for r in got], float)
     numbers = np.array([np.frombuffer(r[1], float) for r in got]).reshape(len(got), k)
