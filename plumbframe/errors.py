@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 LONGEST = 256
 
 
@@ -73,8 +75,6 @@ def translated(error: Exception) -> Exception:
         return ExecutionError("IntegerOverflow", "an integer result doesn't fit its width")
     if has("NOT_NULL_ASSERT_VIOLATION") or "plumbframe:required" in text:
         return StorageError("RequiredColumnContainsNull", "a required column contains null")
-    at = text.find("plumbframe:delimited:")
-    if at >= 0:
-        code, _, message = text[at + len("plumbframe:delimited:") :].partition("\n")[0].partition(":")
-        return StorageError(code, message) if code == "RequiredColumnContainsNull" else SourceError(code, message)
+    if m := re.search(r"plumbframe:delimited:(\w+):(.*)", text):
+        return StorageError(m[1], m[2]) if m[1] == "RequiredColumnContainsNull" else SourceError(m[1], m[2])
     return error

@@ -130,14 +130,15 @@ class Lowering:
                     return F.min(x)
                 low = F.min(x)
                 if self.strict_zero:
-                    low = F.when((low == 0) & F.max((x == 0) & _negative_zero(x)), F.lit(-0.0)).otherwise(low)
+                    low = F.when((low == 0) & F.max((x == 0) & _negative_zero(x)), -F.abs(low)).otherwise(low)
                 return F.when(F.max(F.isnan(x)), F.lit(float("nan")).cast(t.to_spark())).otherwise(low.cast(t.to_spark()))
             case Reduce.MAX:
                 if not (t.is_floating and self.strict_zero):
                     return F.max(x)
                 high = F.max(x)
                 positive = F.max((x == 0) & ~_negative_zero(x))
-                return F.when(high == 0, F.when(positive, F.lit(0.0)).otherwise(F.lit(-0.0))).otherwise(high).cast(t.to_spark())
+                # Not literals: Spark takes 0.0 and -0.0 for the same one.
+                return F.when(high == 0, F.when(positive, F.abs(high)).otherwise(-F.abs(high))).otherwise(high)
 
     def sort_columns(self, k: SortKey, at: Columns) -> list[Column]:
         def ordered(c: Column) -> Column:

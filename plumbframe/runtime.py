@@ -75,9 +75,9 @@ class FrameRuntime:
     def _check(self, plan: N.Plan) -> None:
         first: dict[str, N.Source] = {}
         for s in N.sources(plan):
-            seen = first.setdefault(s.ref.id, s)
-            if seen.schema != s.schema:
+            if first.setdefault(s.ref.id, s).schema != s.schema:
                 raise RuntimeBindingError("ConflictingPlanSchema", f"source '{s.ref.id}' is used with two schemas", id=s.ref.id)
+        for s in first.values():
             b = self._bindings.get(s.ref.id)
             if b is None:
                 raise RuntimeBindingError("MissingSource", f"source '{s.ref.id}' isn't bound", id=s.ref.id)

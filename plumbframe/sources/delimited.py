@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbframe.errors import OptionError, SinkError, SourceError, StorageError
+from plumbframe.errors import OptionError, PlumbError, SinkError, SourceError, StorageError
 from plumbframe.plans.nodes import SourceRef
 from plumbframe.sources.binding import Capabilities, SourceBinding, _spark_frame
 from plumbframe.table import Table, arrow_table
@@ -245,14 +245,20 @@ def delimited_binding(data: str | bytes, options: DelimitedOptions, ref: SourceR
 
 
 def delimited_path_binding(path: str, options: DelimitedOptions, ref: SourceRef | None = None) -> SourceBinding:
-    """Files below path, opened when they are read."""
+    """Files below path, opened when they are read; files of no bytes have no rows."""
     native = options.native
     return SourceBinding(ref or SourceRef.scan("delimited"), options.schema, (_native if native else _parsed)(path, options), Capabilities(projection=native), "spark.read.csv" if native else "parser", ref is None)
 
 
+#: Stands for a quoted empty cell while Spark's reader has it, which else takes it for null.
+_EMPTY = "\ue000plumbframe-empty\ue000"
+
+
 def _native(path: str, o: DelimitedOptions) -> Callable[[SparkSession], DataFrame]:
     def load(spark: SparkSession) -> DataFrame:
-        return spark.read.csv(path, schema=o.schema.to_spark(), sep=o.delimiter, header=True, enforceSchema=False, mode="FAILFAST", multiLine=True, quote='"', escape='"', nullValue="", emptyValue="")
+        df = spark.read.csv(path, schema=o.schema.to_spark(), sep=o.delimiter, header=True, enforceSchema=False, mode="FAILFAST", multiLine=True, quote='"', escape='"', nullValue="", emptyValue=_EMPTY)
+        cells = [(f.name, F.col("`" + f.name.replace("`", "``") + "`")) for f in o.schema]
+        return df.select(*[F.when(c == _EMPTY, F.lit("")).otherwise(c).alias(n) for n, c in cells])
 
     return load
 
@@ -261,8 +267,6 @@ def _parsed(path: str, o: DelimitedOptions) -> Callable[[SparkSession], DataFram
     schema = o.schema.to_arrow()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from plumbframe.errors import PlumbError
-
         for b in batches:
             for content in b.column(0):
                 part: list[list[object]] = []

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 
-from plumbframe.errors import StorageError, TableReadError
+from plumbframe.errors import PlumbError, StorageError, TableReadError
 from plumbframe.types import Schema, TimeUnit
 
 ELLIPSIS = "…"
@@ -23,6 +23,8 @@ def arrow_table(rows: Iterable[object], schema: Schema) -> pa.Table:
             r = next(it)
         except StopIteration:
             break
+        except PlumbError:
+            raise
         except Exception as e:
             raise TableReadError("InputFailure", f"reading row {n} failed", row=n, stage="read") from e
         cells = as_cells(r, schema, n)
