@@ -93,8 +93,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
         laid = laid.unionByName(f)
     laid = durable(laid.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "m")).alias("laid")), "windows")
     texts = docs.select(row_key(doc_id, text).alias("key"), F.col(text).alias("t")).join(laid, "key").dropDuplicates(["key"])
-    texts = texts.select("key", word_array(F.col("t")).alias("w"), "laid").select("key", "w", F.explode("laid").alias("x"))
-    windows = texts.select("key", F.col("x.start").alias("start"), F.col("x.m").alias("m"), F.slice("w", F.col("x.start") + 1, F.col("x.m")).alias("w"))
+    # Windows are cut out before they become rows, so no row carries all the words of a long text.
+    cut = F.transform("laid", lambda x: F.struct(x.start.alias("start"), x.m.alias("m"), F.slice("w", x.start + 1, x.m).alias("w")))
+    windows = texts.select("key", word_array(F.col("t")).alias("w"), "laid").select("key", F.explode(cut).alias("x")).select("key", "x.*")
     windows = windows.withColumn("sh", shingle_hashes(F.col("w"), F.least("m", F.lit(words)))).filter(F.size("sh") > 0)
     windows = durable(windows.select("key", "start", "m", simhash(F.col("sh")).alias("fp"), occurrences(F.col("sh")).alias("seen")), "fingerprints")
     left = windows.select("key", "start", "m", "fp", "seen", F.explode(blocks_of(F.col("fp"), radius)).alias("b")).select("key", "start", "m", "fp", "seen", F.col("b.block").alias("block"), F.col("b.bits").alias("bits"))
@@ -114,9 +115,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs without a leak."""
-    leaks = durable(find_leaks(docs, benchmark, doc_id=doc_id, text=text, **options).select("key").distinct(), "leaks")
+    leaks = durable(find_leaks(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("key").alias("_leak")).distinct(), "leaks")
     keyed = docs.withColumn("_leak_key", row_key(doc_id, text))
-    return keyed.join(leaks, F.col("_leak_key") == F.col("key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(leaks, F.col("_leak_key") == F.col("_leak"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_decontam(spark, sf_dir: str) -> DataFrame:
