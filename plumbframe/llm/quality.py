@@ -110,8 +110,11 @@ def machine(w0: float, w: np.ndarray, v: np.ndarray, i: np.ndarray, x: np.ndarra
     return w0 + linear + 0.5 * ((s * s).sum(axis=1) - squares), s
 
 
-def train_machine(numbers: np.ndarray, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, factors: int = 6, epochs: int = 12, batch: int = 256, rate: float = 0.03, l2: float = 1e-4, meta: tuple[str, ...] = (), seed: int = 7) -> FactorisationMachine:
-    """Adagrad on the logistic loss, over small batches in a fixed random order."""
+def train_machine(numbers: np.ndarray, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, factors: int = 6, epochs: int | None = None, batch: int | None = None, rate: float = 0.03, l2: float = 1e-4, meta: tuple[str, ...] = (), seed: int = 7) -> FactorisationMachine:
+    """Adagrad on the logistic loss, over small batches in a fixed random order; by default 12 to 60 epochs
+    of batches of 16 to 256 rows, more and smaller ones for few rows."""
+    epochs = epochs or int(np.clip(60_000 // max(len(label), 1), 12, 60))
+    batch = batch or int(np.clip(len(label) // 20, 16, 256))
     rng = np.random.default_rng(seed)
     filled = [np.sort(c[~np.isnan(c)]) for c in numbers.T]
     cuts = np.stack([np.quantile(c, np.arange(1, RANGES) / RANGES) if len(c) else np.zeros(RANGES - 1) for c in filled])
