@@ -1,0 +1,125 @@
+"""Toxicity, quality and secrets: held-out accuracy on made tables, and the edges."""
+
+import random
+import zlib
+
+import numpy as np
+
+from plumbframe.llm import quality, secrets, toxicity
+
+BAD = ["zorkful", "blatter", "grumpish", "snarlo", "vexnit", "plonker"]
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+
+
+def corpus(seed=1, n=900):
+    rnd = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        words = prose(rnd, rnd.randint(20, 120)).split()
+        toxic, poor = int(rnd.random() < 0.15), int(rnd.random() < 0.25)
+        if toxic:
+            for _ in range(3):
+                words.insert(rnd.randrange(len(words)), rnd.choice(BAD))
+        text = " ".join(w + "###" for w in words) if poor else " ".join(words)
+        docs.append((i, text, "en", f"s{i % 3}", len(text)))
+        if i % 3:
+            labels.append((i, 1 - poor, toxic))
+    truth = {i: (int(any(b in t for b in BAD)), int("###" not in t)) for i, t, *_ in docs}
+    return docs, labels, truth
+
+
+EDGES = [(5001, None), (5002, ""), (5003, "word " * 50000), (None, "no id"), (5004, "###"), (5004, "###")]
+
+
+def test_toxicity(spark, tables):
+    docs, labels, truth = corpus()
+    d = tables(documents=docs + EDGES, labels=[*labels, (None, 1, 1), (5001, 1, 1), (5002, None, None)])
+    rows = toxicity.op2_toxicity(spark, d).collect()
+    assert len(rows) == len(docs) + len(EDGES) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows if r.doc_id is not None)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert len(held) > 100 and np.mean([r.predicted == truth[r.doc_id][0] for r in held]) > 0.95
+    assert {r.score for r in rows} == {r.score for r in toxicity.op2_toxicity(spark, d).collect()}
+
+
+def test_toxicity_without_examples(spark, tables):
+    docs, labels, _ = corpus(n=30)
+    for ls in ([], [(i, q, 0) for i, q, _ in labels]):
+        rows = toxicity.op2_toxicity(spark, tables(documents=docs, labels=ls)).collect()
+        assert len(rows) == 30 and all(r.predicted == 0 for r in rows)
+    assert toxicity.op2_toxicity(spark, tables(documents=[], labels=[])).collect() == []
+
+
+def test_the_risk_stays_non_negative():
+    """With the correction the classifier doesn't call everything clean that it knows by heart."""
+    rnd = np.random.default_rng(0)
+    positive = [np.append(rnd.integers(100, 900, 30), 5) for _ in range(40)]
+    unlabelled = [rnd.integers(100, 900, 30) for _ in range(180)] + [np.append(rnd.integers(100, 900, 30), 5) for _ in range(20)]
+    m = toxicity.train_nnpu(positive, unlabelled, 0.1, buckets=1024)
+    score = lambda t: m.scores(np.zeros(len(t), np.int64), t, 1)[0]
+    assert m.weights[5] > 0.5 and np.mean([score(t) > 0.3 for t in unlabelled[180:]]) > 0.9 and np.mean([score(t) > 0.3 for t in unlabelled[:180]]) < 0.2
+
+
+def test_quality(spark, tables):
+    docs, labels, truth = corpus(2)
+    d = tables(documents=docs + EDGES, labels=[*labels, (None, 1, 1), (5001, 1, 1), (5002, None, None), (labels[0])])
+    rows = quality.op9_quality(spark, d).collect()
+    assert len(rows) == len(docs) + len(EDGES) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
+    assert len(held) > 100 and np.mean([r.predicted == truth[r.doc_id][1] for r in held]) > 0.97
+    for ls in ([], [(i, 1, 0) for i, *_ in labels]):
+        rows = quality.op9_quality(spark, tables(documents=docs[:20], labels=ls)).collect()
+        assert len({r.score for r in rows}) == 1
+    assert quality.op9_quality(spark, tables(documents=[], labels=[])).collect() == []
+
+
+def test_sum_of_squares_identity():
+    rnd = np.random.default_rng(1)
+    w, v = rnd.normal(size=9), rnd.normal(size=(9, 3))
+    i, x, r = np.array([0, 2, 5, 1, 2]), rnd.normal(size=5), np.array([0, 0, 0, 1, 1])
+    got, _ = quality.machine(0.3, w, v, i, x, r, 3)
+    for row in range(3):
+        at = np.flatnonzero(r == row)
+        pairs = sum(v[i[a]] @ v[i[b]] * x[a] * x[b] for k, a in enumerate(at) for b in at[k + 1 :])
+        assert np.isclose(got[row], 0.3 + sum(w[i[a]] * x[a] for a in at) + pairs)
+
+
+def test_secrets(spark, tables):
+    held = secrets.example_findings(800, seed=99)
+    forest = secrets.train_forest()
+    scores = forest.scores(np.array([secrets.features(*f[:4]) for f in held]))
+    assert np.mean((scores >= 0.5) == np.array([f[4] for f in held])) > 0.97
+    rnd = random.Random(3)
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    docs, secret = [], set()
+    for i in range(200):
+        t = f"é {prose(rnd, 20)} "
+        if i % 4 == 0:
+            t += f'token = "{key()}" {prose(rnd, 5)}.'
+            secret.add(i)
+        elif i % 4 == 1:
+            t += f"commit {key()} {prose(rnd, 5)}"
+        elif i % 4 == 2:
+            t += f"checksum: {key()}. me.{i}@mail7.example.com"
+        docs.append((i, t, "en", "src0"))
+    docs += EDGES
+    d = tables(documents=docs)
+    rows = secrets.op7_secrets(spark, d).collect()
+    assert len(rows) == len(docs)
+    found = {r.doc_id for r in rows if r.n_secrets}
+    assert found == secret and all((r.first_secret is None) == (r.n_secrets == 0) for r in rows)
+    # Spans are those of a plain scan.
+    df = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    for r in secrets.scan_secrets(df, forest, path="source", redacted="clean").collect():
+        raw = (r.text or "").encode()
+        for f in r.findings:
+            c = raw[f.start : f.stop].decode()
+            assert len(c) >= 16 and any(ch.isdigit() for ch in c) and c in (r.text or "")
+            assert (c in (r.clean or "")) != f.secret
+        if not any(f.secret for f in r.findings):
+            assert r.clean == r.text
+    assert secrets.op7_secrets(spark, tables(documents=[])).collect() == []
