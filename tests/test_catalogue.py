@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plumbframe.catalogue import ORACLES, QUERIES
@@ -14,11 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def rows_of(df):
     df = df[sorted(df.columns)]
-    atom = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) else v
-    out = []
-    for r in df.astype(object).itertuples(index=False):
-        out.append(tuple(atom(v) if not isinstance(v, float) or not math.isnan(v) else None for v in r))
-    return sorted(out, key=repr)
+    return sorted([tuple(None if pd.isna(v) else v for v in r) for r in df.astype(object).itertuples(index=False)], key=repr)
 
 
 @pytest.fixture(scope="module")
