@@ -133,10 +133,15 @@ def _count(words: Column) -> Column:
 def _starts(words: Column, pattern: Column) -> Column:
     """Of each match: struct(start, stop) in words."""
     between, found = F.split(words, pattern, -1), F.regexp_extract_all(words, pattern, F.lit(0))
-    lengths = F.transform(found, lambda m: _count(m).cast("long"))
-    gaps = F.transform(between, lambda m: _count(m).cast("long"))
-    ends = F.transform(lengths, lambda _, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x) + F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    return F.transform(ends, lambda e, i: F.struct((e - F.get(lengths, i)).alias("start"), e.alias("stop")))
+    steps = F.zip_with(between, found, lambda gap, match: F.struct(_count(gap).cast("long").alias("gap"), _count(match).cast("long").alias("length")))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("places"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc.at + x.gap
+        stop = start + x.length
+        return F.struct(stop.alias("at"), F.array_append(acc.places, F.struct(start.alias("start"), stop.alias("stop"))).alias("places"))
+
+    return F.aggregate(F.slice(steps, 1, F.size(found)), begin, step, lambda acc: acc.places)
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text", prefix: str = "") -> DataFrame:
@@ -191,3 +196,35 @@ def op10_licenses(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.sort_array(F.array_union(base, labels)), ",").alias("labels"),
         F.coalesce(F.array_max(F.transform("detections", lambda d: d.confidence)), F.when(F.size("base") > 0, 0.5), F.lit(0.0)).alias("score"),
     )
+
+
+def oracle() -> str:
+    """The same in DuckDB's SQL, from the same tables of rules."""
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
+    rule_rows = ", ".join(f"({i}, {quoted(label)}, {quoted(k)}, {p}, {c}::DOUBLE, {quoted(x)})" for i, (label, k, p, c, x) in enumerate(rules()))
+    base_rows = ", ".join(f"({quoted(label)}, {quoted(_pattern(phrase))})" for phrase, label in BASE.items())
+    gates = " OR ".join(f"contains(low, {quoted(g)})" for g in GATES)
+    # Places: of the k-th match the words between and in all matches before it, and the words before it.
+    places = "list_transform(range(1, len(found) + 1), lambda k: struct_pack(start := (list_sum(list_transform(between[1:k], lambda x: len(x) - len(replace(x, ' ', '')))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: len(x) - len(replace(x, ' ', '')))), 0))::BIGINT // 2, stop := (list_sum(list_transform(between[1:k], lambda x: len(x) - len(replace(x, ' ', '')))) + list_sum(list_transform(found[1:k], lambda x: len(x) - len(replace(x, ' ', '')))))::BIGINT // 2))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, doc_id, lower(t) AS low, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
+n AS (SELECT *, CASE WHEN len(words) > 0 THEN ' ' || array_to_string(words, '  ') || ' ' ELSE '' END AS line FROM w),
+g AS (SELECT * FROM n WHERE {gates} OR contains(line, ' cc  by')),
+base_rules(label, pattern) AS (VALUES {base_rows}),
+base_found AS (SELECT id, label, regexp_extract_all(line, pattern) AS found, string_split_regex(line, pattern) AS between FROM n, base_rules WHERE regexp_matches(line, pattern)),
+base AS (SELECT id, label, unnest({places}).start AS start FROM base_found),
+per_base AS (SELECT id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY id),
+rules(rule, label, keyword, priority, confidence, pattern) AS (VALUES {rule_rows}),
+hit AS (SELECT id, rule, label, priority, confidence, regexp_extract_all(line, pattern) AS found, string_split_regex(line, pattern) AS between FROM g, rules WHERE contains(line, keyword) AND regexp_matches(line, pattern)),
+spans AS (SELECT id, rule, label, priority, confidence, unnest({places}) AS s FROM hit),
+det AS (SELECT id, rule, label, priority, confidence, s.start AS start, s.stop AS stop FROM spans),
+kept AS (SELECT * FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE a.id = b.id AND b.start <= a.start AND b.stop >= a.stop AND b.priority >= a.priority
+         AND (b.start, -b.stop, -b.priority, b.rule) < (a.start, -a.stop, -a.priority, a.rule))),
+per_doc AS (SELECT id, list(DISTINCT label) AS labels, max(confidence) AS score FROM kept GROUP BY id)
+SELECT n.doc_id, len(n.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word, b.last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(p.labels, [])))), ','), '') AS labels,
+       coalesce(p.score, CASE WHEN b.n_base > 0 THEN 0.5::DOUBLE END, 0.0::DOUBLE) AS score
+FROM n LEFT JOIN per_base b ON n.id = b.id LEFT JOIN per_doc p ON n.id = p.id
+"""

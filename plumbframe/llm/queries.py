@@ -21,4 +21,5 @@ ORACLES = {
     "op1_mix": mixing.ORACLE,
     "op4_warc": warc.ORACLE,
     "op6_topk": topk.ORACLE,
+    "op10_licenses": licenses.oracle(),
 }
