@@ -11,6 +11,7 @@ from plumbframe.errors import ExecutionError, FrameError, OptionError, PlumbErro
 from plumbframe.functions import Aggregate, Expr, Nulls, Order, SortKey, asc, count, desc, literal, max_, mean, min_, null_literal, stddev_pop, sum_, variance_pop
 from plumbframe.operators import Frame, GroupedFrame, Row
 from plumbframe.plans.nodes import Ordering, SourceKind, SourceRef
+from plumbframe.plans.requests import ScanRequest, scan_requests
 from plumbframe.runtime import EnginePolicy, ExecutionReceipt, FrameRuntime, PushdownReceipt
 from plumbframe.sources import SourceBinding, arrow_bytes, arrow_ipc_binding, csv_options, dataframe_binding, delimited_binding, delimited_path_binding, header_names, parquet_binding, rows_binding, table_binding, to_text, tsv_options, write_text
 from plumbframe.table import Table

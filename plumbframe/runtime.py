@@ -15,6 +15,7 @@ from plumbframe.errors import ExecutionError, RuntimeBindingError, SourceError,
 from plumbframe.operators.frame import Frame
 from plumbframe.plans import nodes as N
 from plumbframe.plans.lower import Lowering
+from plumbframe.plans.requests import ScanRequest, scan_requests
 from plumbframe.sources.binding import SourceBinding
 from plumbframe.table import Table
 
@@ -35,8 +36,7 @@ class PushdownReceipt:
     """What a source was asked for and what its scan took over, as the executed plan tells."""
 
     source: str
-    requested_limit: int | None
-    requested_predicate: bool
+    requested: ScanRequest
     accepted: tuple[str, ...]
     columns_read: tuple[str, ...]
 
@@ -121,11 +121,10 @@ class FrameRuntime:
         read = re.findall(r"ReadSchema: struct<(.*?)>(?:\n|$)", df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")), re.S)
         pushed = re.findall(r"PushedFilters: \[(.*?)\]", physical)
         out = []
+        requests = scan_requests(frame.plan)
         for i, s in enumerate({s.ref.id: s for s in N.sources(frame.plan)}.values()):
-            limits = [p.count for p in N.walk(frame.plan) if isinstance(p, N.Limit) and p.input is s]
-            wanted = any(isinstance(p, N.Filter) and p.input is s for p in N.walk(frame.plan))
             columns = tuple(c.partition(":")[0] for c in read[i].split(",")) if i < len(read) and read[i] else s.schema.names
-            out.append(PushdownReceipt(s.ref.id, max(limits) if limits else None, wanted, tuple(x for x in (pushed[i].split(", ") if i < len(pushed) else []) if x), columns))
+            out.append(PushdownReceipt(s.ref.id, requests[s.ref.id], tuple(x for x in (pushed[i].split(", ") if i < len(pushed) else []) if x), columns))
         return ExecutionReceipt(tuple(out), physical=physical)
 
     # Streaming of finite results

@@ -167,6 +167,7 @@ def test_parquet_pushdown_and_receipts(spark, tmp_path):
     rt = FrameRuntime(spark, p)
     table, receipt = rt.collect_with_receipt(p.frame.filter(lambda r: (r["a"] > literal_int(40)).is_true()).select("a"))
     assert table.column("a") == list(range(41, 50))
+    assert receipt.sources[0].requested.predicate is not None and receipt.sources[0].requested.limit is None
     assert receipt.engine == "spark" and receipt.sources[0].columns_read == ("a",) and any("GreaterThan" in x for x in receipt.sources[0].accepted)
     assert "ReadSchema" in rt.physical_explain(p.frame) and "incremental" in rt.stream_physical_explain(p.frame)
     fails(RuntimeBindingError, "Source", lambda: parquet_binding(path, Schema.of(zz=INT32)).collect(spark))
@@ -174,6 +175,24 @@ def test_parquet_pushdown_and_receipts(spark, tmp_path):
     assert dataframe_binding(spark.range(3)).collect(spark).column("id") == [0, 1, 2]
 
 
+def test_scan_requests():
+    from plumbframe import scan_requests
+    from plumbframe.functions.expr import Binary
+    from plumbframe.plans.requests import Both, Compare, Either, IsNull
+
+    f = Frame.source("s", Schema.of(a=INT32, b=(UTF8, True)))
+    ask = lambda g: scan_requests(g.plan)["s"]
+    assert (ask(f).limit, ask(f).predicate) == (None, None)
+    assert ask(f.limit(3)).limit == 3 and ask(f.limit(9).limit(3)).limit == 9
+    assert ask(f.filter(lambda r: (r["a"] > literal_int(1)) & r["b"].eq("x").is_true())).predicate == Both(Compare("a", Binary.GT, 1), Compare("b", Binary.EQ, "x"))
+    assert ask(f.filter(lambda r: (literal_int(1) > r["a"]) | r["b"].is_null())).predicate == Either(Compare("a", Binary.LT, 1), IsNull("b"))
+    assert ask(f.filter(lambda r: (r["a"] + literal_int(1)) > literal_int(1))).predicate is None
+    assert ask(f.filter(lambda r: r["b"].is_not_null())).predicate is None
+    assert ask(f.limit(2).union_all(f.limit(5))).limit == 5 and ask(f.limit(2).union_all(f)).limit is None
+    p = lambda r: r["a"] > literal_int(1)
+    assert ask(f.filter(p).union_all(f.filter(p))).predicate is not None and ask(f.filter(p).union_all(f)).predicate is None
+
+
 def literal_int(n):
     from plumbframe import literal
 
