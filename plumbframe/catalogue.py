@@ -6,6 +6,7 @@ Sums of fractions depend on the order of addition, so such results are rounded o
 from __future__ import annotations
 
 import datetime
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -39,6 +40,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+@functools.lru_cache(maxsize=8)
 def runtime(spark: SparkSession, sf_dir: str) -> FrameRuntime:
     return FrameRuntime(spark, *(parquet_binding(f"{sf_dir}/{n}.parquet", s, SourceRef.scan(n)) for n, s in TABLES.items()))
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbframe.errors import SourceError, StorageError
 from plumbframe.operators.frame import Frame
@@ -85,7 +86,11 @@ def dataframe_binding(df: DataFrame, schema: Schema | None = None, ref: SourceRe
 def parquet_binding(path: str, schema: Schema, ref: SourceRef | None = None, *, verify_required: bool = False) -> SourceBinding:
     """Parquet files. Spark prunes columns and pushes predicates; verify_required looks for nulls in required columns first (one pass)."""
 
+    inspected: list[T.StructType] = []
+
     def load(spark: SparkSession) -> DataFrame:
+        if inspected:  # footers are read once for a binding
+            return spark.read.schema(inspected[0]).parquet(path)
         df = spark.read.parquet(path)
         if missing := [n for n in schema.names if n not in df.columns]:
             raise SourceError("MissingColumn", f"there is no column '{missing[0]}'", name=missing[0])
@@ -97,6 +102,7 @@ def parquet_binding(path: str, schema: Schema, ref: SourceRef | None = None, *,
             for n, bad in zip(required, found, strict=True):
                 if bad:
                     raise StorageError("RequiredColumnContainsNull", f"required column '{n}' contains null", name=n)
+        inspected.append(df.schema)
         return df
 
     return SourceBinding(ref or SourceRef.scan("parquet"), schema, load, Capabilities(True, True, True, False), "parquet", ref is None)
