@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbframe.llm.common import table
+from plumbframe.llm.common import small_batches, table
 
 CACHE_WORDS = 500_000
 LONGEST_CACHED = 64
@@ -124,6 +124,7 @@ def counter(merges: Merges) -> Callable[[str], int]:
 
 def count_tokens(docs: DataFrame, merges: Merges, *, doc_id: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(merges)  # the vocabulary: a fixed size, about 5 MB
 

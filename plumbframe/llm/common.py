@@ -41,6 +41,13 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of 1,000, where the session has Spark's default of 10,000: texts are long, and both sides hold a batch or more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as SPACED_WORD has them; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")

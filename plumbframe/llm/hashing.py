@@ -16,7 +16,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _KEPT: dict[str, np.ndarray] = {}
 
 #: Bytes of texts handled at once (more where one text is longer).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += np.uint64(32)
@@ -50,11 +50,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows, the nulls as empty texts; offsets are one more than rows."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
         column = column.fill_null("")
     n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if n and column.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:

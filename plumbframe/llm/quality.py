@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import sampled_ids, table
+from plumbframe.llm.common import sampled_ids, small_batches, table
 from plumbframe.llm.toxicity import held_out
 
 WORD_BUCKETS = 1 << 14
@@ -155,6 +155,7 @@ def _inputs(b: pa.RecordBatch, text: str, meta: tuple[str, ...]) -> Iterator[tup
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", meta: tuple[str, ...] = (), max_rows: int = 8000) -> FactorisationMachine:
     """Train from the labels given (leave held-out rows out of them)."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("_label_id"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isin(0, 1)).dropDuplicates(["_label_id"])
     counts = dict(known.groupBy("_label").count().collect())  # two rows
     ids = [sampled_ids(known.filter(F.col("_label") == y), "_label_id", max_rows // 2, SEED) for y in (0, 1)]
@@ -185,6 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
 
 def score_quality(docs: DataFrame, fm: FactorisationMachine, *, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (default all) and the score of each row."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     names = [f"_fm_meta{i}" for i in range(len(fm.meta))]
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_fm_text"), *[F.col(c).alias(n) for c, n in zip(fm.meta, names, strict=True)])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import table
+from plumbframe.llm.common import small_batches, table
 
 MIN_LENGTH = 16
 CONTEXT = 48
@@ -255,6 +255,7 @@ def _judged(batch: pa.RecordBatch, text: str, path: str | None, forest: Forest)
 def scan_secrets(docs: DataFrame, forest: Forest, *, text: str = "text", path: str | None = None, threshold: float = 0.5, findings: str = "findings", redacted: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (default all) with findings: array of (start, stop in bytes, score, secret); on request also redacted:
     the text with its secrets replaced (null stays null)."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     read = text if text in keep else "_sec_text"
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]), *([F.col(path).cast("string").alias("_sec_path")] if path else []))

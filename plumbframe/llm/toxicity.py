@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import sampled_ids, table
+from plumbframe.llm.common import sampled_ids, small_batches, table
 
 BUCKETS = 1 << 17
 SEED = "plumbframe-pu-1"
@@ -52,6 +52,7 @@ def hashed_rows(batch: pa.RecordBatch, text: str, buckets: int = BUCKETS) -> Ite
 
 def buckets_of(rows: DataFrame, ids: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[np.ndarray]:
     """The distinct buckets of each row whose id is among ids, a bounded sample; the texts stay on the executors."""
+    small_batches(rows.sparkSession)
     # Broadcast: sampled_ids bounds the ids.
     some = rows.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull() & (F.col("_text") != "")).join(F.broadcast(ids), "_id")
 
@@ -64,27 +65,26 @@ def buckets_of(rows: DataFrame, ids: DataFrame, *, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out, pa.binary())], ["_id", "buckets"])
 
     got = some.mapInArrow(run, f"_id {some.schema['_id'].dataType.simpleString()}, buckets binary").dropDuplicates(["_id"]).orderBy("_id").collect()
-    return [np.frombuffer(r[1], np.uint32).astype(np.int64) for r in got]
+    return [np.frombuffer(r[1], np.uint32) for r in got]
 
 
-def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate(texts)
+def _flat(texts: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place of bucket) of the buckets that have a place."""
+    kept = [p[p >= 0] for p in (place[t] for t in texts)]
+    return np.repeat(np.arange(len(kept), dtype=np.int32), [len(p) for p in kept]), np.concatenate(kept)
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, buckets: int = BUCKETS, steps: int = 300, rate: float = 0.05, l1: float = 2e-4, min_texts: int = 4) -> LinearModel:
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, buckets: int = BUCKETS, steps: int = 200, rate: float = 0.05, l1: float = 2e-4, min_texts: int = 4) -> LinearModel:
     """Adam with a proximal L1 step on the non-negative risk with the logistic loss."""
     prior = float(min(max(prior, 1e-4), 0.9))
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return LinearModel(np.zeros(buckets), bias)
-    (rp, bp), (ru, bu) = _flat(positive), _flat(unlabelled)
     # Buckets of few positive texts tell nothing and are left out of training.
-    known = np.flatnonzero(np.bincount(bp, minlength=buckets) >= min_texts)
-    place = np.full(buckets, -1)
+    known = np.flatnonzero(np.bincount(np.concatenate(positive), minlength=buckets) >= min_texts)
+    place = np.full(buckets, -1, np.int32)
     place[known] = np.arange(len(known))
-    rp, bp, ru, bu = rp[place[bp] >= 0], place[bp[place[bp] >= 0]], ru[place[bu] >= 0], place[bu[place[bu] >= 0]]
+    (rp, bp), (ru, bu) = _flat(positive, place), _flat(unlabelled, place)
     n_p, n_u, d = len(positive), len(unlabelled), len(known)
     l1 *= max(1.0, (600 / n_p) ** 0.5)  # few examples: fewer weights
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
@@ -112,7 +112,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     return LinearModel(weights, float(w[d]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 12000, prior: float | None = None) -> LinearModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = 3000, max_unlabelled: int = 6000, prior: float | None = None) -> LinearModel:
     """Train from the labels given (leave held-out rows out of them). prior: the toxic share; None: that of the labels."""
     known = labels.select(F.col(doc_id).alias("_label_id"), F.col(label).alias("_label")).filter(F.col("_label").isNotNull() & F.col("_label_id").isNotNull())
     if prior is None:
@@ -127,6 +127,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 
 def score_toxicity(docs: DataFrame, model: LinearModel, *, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (default all) and the score of each row."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     read = text if text in keep else "_tox_text"
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
