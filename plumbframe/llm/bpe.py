@@ -126,10 +126,10 @@ def count_tokens(docs: DataFrame, merges: Merges, *, doc_id: str = "doc_id", tex
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each row."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(merges)  # the vocabulary: a fixed size, about 5 MB
+    sent = docs.sparkSession.sparkContext.broadcast((merges.ranks, merges.word_end, merges.specials))  # the vocabulary: a fixed size, about 5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(sent.value)
+        count = counter(Merges(*sent.value))
         for b in batches:
             texts = b.column("text").to_pylist()
             tokens = [count(t) if t else 0 for t in texts]

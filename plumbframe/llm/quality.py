@@ -191,10 +191,10 @@ def score_quality(docs: DataFrame, fm: FactorisationMachine, *, text: str = "tex
     names = [f"_fm_meta{i}" for i in range(len(fm.meta))]
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_fm_text"), *[F.col(c).alias(n) for c, n in zip(fm.meta, names, strict=True)])
     # 1 MB, whatever the input.
-    sent = docs.sparkSession.sparkContext.broadcast(fm)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(fm))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = FactorisationMachine(**sent.value)
         for b in batches:
             out = [m.scores(*x) for x in _inputs(b, "_fm_text", tuple(names))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, score])

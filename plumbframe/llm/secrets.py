@@ -259,13 +259,14 @@ def scan_secrets(docs: DataFrame, forest: Forest, *, text: str = "text", path: s
     keep = docs.columns if keep is None else keep
     read = text if text in keep else "_sec_text"
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]), *([F.col(path).cast("string").alias("_sec_path")] if path else []))
-    sent = docs.sparkSession.sparkContext.broadcast(forest)  # some 100 KB
+    sent = docs.sparkSession.sparkContext.broadcast(forest.trees)  # some 100 KB
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("secret", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown = Forest(sent.value)
         for b in batches:
             found, texts = [], b.column(read).to_pylist() if redacted else []
-            for i, (raw, rows) in enumerate(_judged(b, read, "_sec_path" if path else None, sent.value)):
+            for i, (raw, rows) in enumerate(_judged(b, read, "_sec_path" if path else None, grown)):
                 found.append([{"start": s, "stop": e, "score": p, "secret": p >= threshold} for s, e, p in rows])
                 if redacted and any(p >= threshold for *_, p in rows):
                     parts, at = [], 0

@@ -132,10 +132,10 @@ def score_toxicity(docs: DataFrame, model: LinearModel, *, text: str = "text", s
     read = text if text in keep else "_tox_text"
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
     # 1 MB, whatever the input.
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = LinearModel(**sent.value)
         for b in batches:
             out = [m.scores(row, bucket, rows) for _, rows, row, bucket in hashed_rows(b, read)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, score])
