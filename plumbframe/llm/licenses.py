@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 Rules are regular expressions over the words of a text, hundreds of them, built from a list of license families and a
-list of sentence forms. A rule runs only where its keyword stands in the text, and the whole set only where one of few gate
-keywords does, so most documents cost one pass. Detections overlap ("gnu lesser general public license" holds "general
+list of sentence forms. A rule runs only where its sentence form and one of its names can stand: each has a literal that all
+its matches hold, derived from the patterns, so nothing is lost. A text without any name's literal costs one pass. Detections overlap ("gnu lesser general public license" holds "general
 public license"); a detection that lies within another of the same or a higher priority is suppressed.
 All of it is SQL expressions on one row: nothing is shuffled.
 
@@ -90,9 +90,14 @@ FORMS = [
 NAME_ALONE = ("N", 1, 0.5)
 ORDINARY = {"mit", "isc", "bsd", "postgresql", "proprietary", "unlicense"}
 
-#: Without one of these, no rule and no base phrase can match.
+#: Gates and keywords of the SQL in oracle(). They are narrower than the rules; the operator takes its literals from rule_keys().
 GATES = ("licen", "spdx", "gpl", "copyleft", "creative commons", "apache", "cc0", "wtfpl", "mozilla", "eclipse", "zlib", "mit 0", "mit no", "freebsd", "openfont")
-CC_GATE = f"(?i)(?<![0-9A-Za-z\\x80-\\x{{10FFFF}}])cc{GAP}by"
+
+#: Words that tell little; they only decide which literal of a pattern is looked for.
+COMMON = {"the", "of", "to", "under", "and", "license", "version", "public", "general", "software", "open", "gnu", "creative", "commons", "terms"}
+
+#: The literal of a form that has none: each line with words holds it.
+ANYWHERE = " "
 
 
 def _pattern(form: str) -> str:
@@ -118,6 +123,37 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     return out
 
 
+def _literal(form: str) -> str:
+    """The rarest text that every match of a form or name holds."""
+    runs, open_ = [], False
+    for w in form.split():
+        start = re.match(r"[a-z0-9]*", w).group()
+        whole = start == w
+        if w.endswith("?") or w in "NS":
+            open_ = False
+        elif whole and open_:
+            runs[-1] += f" {w} "
+        elif whole:
+            runs.append(f" {w} ")
+            open_ = True
+        else:
+            # A word with a choice inside: what comes before the choice, or before a letter that may be absent.
+            start = start[:-1] if w[len(start) : len(start) + 1] in ("?", "*") else start
+            runs += [f" {start}"] if start and "|" not in w else []
+            open_ = False
+    return max(runs, key=lambda r: (sum(len(w) for w in r.split() if w not in COMMON), len(r)), default=ANYWHERE)
+
+
+def rule_keys() -> list[tuple[list[str], str]]:
+    """Of each rule: a literal for each of its names, and that of its sentence form. Without one of the former and the latter it can't match."""
+    out = []
+    for label, _, names, spdx in FAMILIES:
+        of_names = sorted({_literal(n) for n in names.split("|")})
+        for form, _, _ in FORMS + ([] if label in ORDINARY else [NAME_ALONE]):
+            out.append(([_literal(spdx)] if form.endswith("S") else of_names, _literal(form)))
+    return out
+
+
 def normal_words(text: Column) -> Column:
     """The words in lower case (A-Z only), each with a space before and after."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -148,17 +184,17 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", prefix: str = "") -> D
     """docs with <prefix>n_words, <prefix>base (places of base phrases: label, start) and <prefix>detections
     (label, rule, priority, confidence, start, stop) after suppression."""
     t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
-    gate = F.rlike(t, F.lit(CC_GATE))
-    for g in GATES:
-        gate = F.contains(low, F.lit(g)) | gate
-    words = F.when(gate, normal_words(t))
+    keys = rule_keys()
+    of_names, of_forms = sorted({n for ns, _ in keys for n in ns}), sorted({f for _, f in keys})
     base_of = lambda w, phrase, label: F.transform(_starts(w, F.lit(_pattern(phrase))), lambda s: F.struct(F.lit(label).alias("label"), s.start.alias("start")))
-    with_words = docs.withColumn("_lic_words", words).withColumn(f"{prefix}n_words", F.regexp_count(t, F.lit(WORD)).cast("long"))
+    with_words = docs.withColumn("_lic_words", normal_words(t))
     w = F.col("_lic_words")
+    held = lambda literals: F.filter(F.array(*map(F.lit, literals)), lambda k: F.contains(w, k))
+    with_words = with_words.withColumn(f"{prefix}n_words", _count(w).cast("long")).withColumn("_lic_names", held(of_names))
+    with_words = with_words.withColumn("_lic_forms", F.when(F.size("_lic_names") > 0, held(of_forms)))
     base = F.flatten(F.array(*[F.when(F.contains(w, F.lit(_first_word(p))), base_of(w, p, label)).otherwise(F.array().cast("array<struct<label:string,start:bigint>>")) for p, label in BASE.items()]))
-    rule_set = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(x).alias("pattern")) for i, (label, k, p, c, x) in enumerate(rules())])
-    found = F.flatten(F.transform(F.filter(rule_set, lambda r: F.contains(w, r.keyword)), lambda r: F.transform(_starts(w, r.pattern), lambda s: F.struct(s.start.alias("start"), (-s.stop).alias("stop"), (-r.priority).alias("priority"), r.rule.alias("rule"), r.label.alias("label"), r.confidence.alias("confidence")))))
+    rule_set = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.array(*map(F.lit, ns)).alias("names"), F.lit(f).alias("form"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(x).alias("pattern")) for i, ((label, _, p, c, x), (ns, f)) in enumerate(zip(rules(), keys, strict=True))])
+    found = F.flatten(F.transform(F.filter(rule_set, lambda r: F.array_contains(F.col("_lic_forms"), r.form) & F.arrays_overlap(r.names, F.col("_lic_names"))), lambda r: F.transform(_starts(w, r.pattern), lambda s: F.struct(s.start.alias("start"), (-s.stop).alias("stop"), (-r.priority).alias("priority"), r.rule.alias("rule"), r.label.alias("label"), r.confidence.alias("confidence")))))
     kind = "struct<start:bigint,stop:bigint,priority:int,rule:int,label:string,confidence:double>"
     # In the order of start, longest first, highest priority first, a detection lies within an earlier one of the same or a higher
     # priority if the furthest end of those is no less than its own.
@@ -172,8 +208,8 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", prefix: str = "") -> D
 
     kept = F.aggregate(F.array_sort(found), begin, step, lambda acc: F.transform(acc.kept, lambda d: F.struct(d.label.alias("label"), d.rule.alias("rule"), (-d.priority).alias("priority"), d.confidence.alias("confidence"), d.start.alias("start"), (-d.stop).alias("stop"))))
     none = F.array().cast("array<struct<label:string,rule:int,priority:int,confidence:double,start:bigint,stop:bigint>>")
-    out = with_words.withColumn(f"{prefix}base", F.when(w.isNotNull(), base).otherwise(F.array().cast("array<struct<label:string,start:bigint>>")))
-    return out.withColumn(f"{prefix}detections", F.when(w.isNotNull(), kept).otherwise(none)).drop("_lic_words")
+    out = with_words.withColumn(f"{prefix}base", base)
+    return out.withColumn(f"{prefix}detections", F.when(F.size("_lic_names") > 0, kept).otherwise(none)).drop("_lic_words", "_lic_names", "_lic_forms")
 
 
 def _first_word(phrase: str) -> str:

@@ -125,3 +125,25 @@ def test_licenses(spark, tables):
     assert by_id[12].labels == "lgpl-3" and by_id[11].labels == "apache-2" and by_id[13].labels == "apache-2"
     assert by_id[7].labels == "" and by_id[6].score == 0.0
     assert len(licenses.rules()) > 200 and licenses.op10_licenses(spark, tables(documents=[])).collect() == []
+
+
+def test_license_literals_lose_nothing(spark, tables):
+    """Against every rule on every text, without looking for literals first."""
+    names = [n for _, _, ns, _ in licenses.FAMILIES for n in ns.split("|")]
+    plain = lambda form, full: " ".join(re.sub(r"\?|\[(.).*?\]|\(\?:(\w+)[^)]*\)", r"\1\2", w) for w in form.split() if full or not w.endswith("?"))
+    texts = [plain(n, full) for n in names for full in (True, False)] + [f"it is {f} {plain(n, True)} x" for n in names for f in ("licensed under the", "distributed under", "subject to the terms of the", "the", "licence")]
+    texts += [f"{plain(s, True)} SPDX-License-Identifier: {plain(s, False)}" for *_, s in licenses.FAMILIES]
+    texts += ["licensed under the LGPL v3", "under the Expat license", "Creative Commons Attribution 4.0 International License", "no such thing, I submit", "limited access", ""]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    every = [(i, label, p, re.compile(x)) for i, (label, _, p, _, x) in enumerate(licenses.rules())]
+    for r in got:
+        words = re.findall(r"[a-z0-9]+", r.text.lower())
+        line = "".join(f" {w} " for w in words)
+        found = sorted((m.start(), -m.end(), -p, i, label) for i, label, p, x in every for m in x.finditer(line))
+        kept = []
+        for d in found:
+            if not any(e[1] <= d[1] and e[2] <= d[2] for e in found[: found.index(d)]):
+                kept.append((d[4], d[3], line[: d[0]].count(" ") // 2, line[: -d[1]].count(" ") // 2))
+        assert [(d.label, d.rule, d.start, d.stop) for d in r.detections] == kept and r.n_words == len(words), r.text
+    labels = {r.text: {d.label for d in r.detections} for r in got}
+    assert "lgpl-3" in labels["licensed under the LGPL v3"] and labels["under the Expat license"] == {"mit"} and "cc-by" in labels["Creative Commons Attribution 4.0 International License"]
