@@ -1,5 +1,6 @@
 """Toxicity, quality and secrets: held-out accuracy on made tables, and the edges."""
 
+import inspect
 import random
 import zlib
 
@@ -123,3 +124,13 @@ def test_secrets(spark, tables):
         if not any(f.secret for f in r.findings):
             assert r.clean == r.text
     assert secrets.op7_secrets(spark, tables(documents=[])).collect() == []
+
+
+def test_toxicity_trains_on_the_whole_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train_nnpu", lambda p, u, prior: seen.append((len(p), len(u))))
+    docs = spark.range(13000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    toxicity.fit_toxicity(docs, spark.range(4500).selectExpr("id AS doc_id", "1 AS toxic"))
+    assert seen == [(4000, 12000)]
+    monkeypatch.undo()
+    assert inspect.signature(toxicity.train_nnpu).parameters["steps"].default == 300
