@@ -9,7 +9,7 @@ Reading: files are parsed by Content-Length; continuation records are grouped by
 and against the total length, joined, and the chunk framing decoded.
 
 Edge cases: a null payload is empty; empty payloads are equal to each other; a null id counts as smaller than any; of equal pages with
-equal ids each is a response; a missing URL becomes an empty header; incomplete segment groups give a null payload and complete = false.
+equal ids each is a response, with its number among them in its record identifier from the second on; a missing URL becomes an empty header; incomplete segment groups give a null payload and complete = false.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbframe.llm.common import durable, shared_folder, small_batches, table
@@ -76,10 +76,10 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> str:
     return "\r\n".join(lines) + END + block.decode("utf-8")
 
 
-def page_records(page_id: int | None, url: str | None, html: str | None, digest: str, refers_to: int | None, *, segment_bytes: int, chunk_bytes: int) -> Iterator[str]:
-    """The records of one page, without the line ends that close them."""
+def page_records(page_id: int | None, url: str | None, html: str | None, digest: str, refers_to: int | None, copy: int = 1, *, segment_bytes: int, chunk_bytes: int) -> Iterator[str]:
+    """The records of one page, without the line ends that close them. copy: its number among pages of equal id and payload."""
     clean = "".join(c for c in (url or "") if c >= " ")
-    own = record_id("page", f"{page_id}:{digest}" if page_id is not None else f"null:{digest}")
+    own = record_id("page", f"{'null' if page_id is None else page_id}:{digest}" + (f":{copy}" if copy > 1 else ""))
     common = [("WARC-Target-URI", clean), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     mine = [] if page_id is None else [("Page-Id", str(page_id))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -102,16 +102,20 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     # Written out, so that its size is known when the join is planned: few repeated payloads are broadcast, many are shuffled.
-    repeated = durable(rows.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "payloads")
-    rows = rows.join(repeated.withColumnRenamed("sha1", "_sha1"), F.col("sha1") == F.col("_sha1"), "left")
+    per_id = rows.groupBy("sha1", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = durable(per_id.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.sum("n").alias("n"), F.max("n").alias("copies")).filter("n > 1").drop("n"), "payloads").withColumnRenamed("sha1", "_sha1")
+    same = F.col("sha1") == F.col("_sha1")
+    # Only payloads that one id has more than once are shuffled, to number their pages.
+    twins = rows.join(repeated.filter("copies > 1"), same).withColumn("copy", F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url")))
+    rows = rows.join(repeated, same, "left").filter("copies IS NULL OR copies = 1").withColumn("copy", F.lit(1)).unionByName(twins)
     older = F.col("page_id").isNull() | (F.col("page_id") < F.col("newest"))
-    rows = rows.select("page_id", "url", "html", base32(F.col("sha1")).alias("digest"), F.when(older, F.col("newest")).alias("refers_to"))
+    rows = rows.select("page_id", "url", "html", base32(F.col("sha1")).alias("digest"), F.when(older, F.col("newest")).alias("refers_to"), "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[str] = []
-            for p, u, h, d, r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                out += page_records(p, u, h, d, r, segment_bytes=segment_bytes, chunk_bytes=chunk_bytes)
+            for p, u, h, d, r, n in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "copy")), strict=True):
+                out += page_records(p, u, h, d, r, n, segment_bytes=segment_bytes, chunk_bytes=chunk_bytes)
                 if len(out) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
                     out = []

@@ -226,6 +226,19 @@ def test_archives(spark, tables):
     assert warc.op4_warc(spark, tables(pages=[])).collect() == []
 
 
+def test_repeated_long_pages(spark, tables, tmp_path):
+    long, other = "long é " * 4000, "other " * 4000
+    rows = [(7, "u", long), (7, "u", long), (7, "v", long), (3, "u", long), (3, "u", long), (None, "u", long), (None, "u", other), (None, "u", other)]
+    got = warc.op4_warc(spark, tables(pages=rows)).collect()
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = [(p, len(h.encode()), digest(h), "response" if p == 7 or h == other else "revisit", None if p == 7 or h == other else 7) for p, _, h in rows]
+    assert sorted(map(repr, want)) == sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
+    path = f"file://{tmp_path}/repeated"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    ids = [r.record_id for r in warc.read_records(spark, path).collect()]
+    assert len(ids) == len(set(ids))
+
+
 def test_segments(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "é" * 5000), (2, "u", "x")], "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"
