@@ -1,7 +1,8 @@
 """Secret scans: long runs of key-like characters, judged by a random forest.
 
-Candidates are runs of at least min_length key characters with a digit, found on the bytes of whole texts. Most are no secrets:
-checksums, commit ids, placeholders. A random forest (numpy, grown here) tells them apart by length, character transitions, dictionary
+Candidates are runs of at least min_length key characters with a digit, and what is quoted or assigned after a secret word, whatever
+its length and characters; both are found on the bytes of whole texts. An = with a key character behind it ends a run, so a name isn't
+part of its value. Most candidates are no secrets: checksums, commit ids, placeholders. A random forest (numpy, grown here) tells them apart by length, character transitions, dictionary
 coverage, the path and the neighbouring words. It learns from labelled findings; example_findings makes a seeded set of them, for tables
 that bring none.
 
@@ -39,14 +40,20 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 
 # Words near secrets, words near what only looks like one, and common words inside identifiers.
-SECRET_WORDS = "token secret key apikey api_key password passwd pwd auth bearer credential credentials private access aws client_secret authorization".split()
+SECRET_WORDS = "token secret key apikey api_key password passwd passphrase pwd auth bearer credential credentials private access aws client_secret authorization".split()
 BENIGN_WORDS = "example sample placeholder dummy test checksum sha sha1 sha256 md5 digest hash commit revision etag uuid guid request trace span build version id integrity hex".split()
 DICTIONARY = "about access account action address admin agent alpha apple array async author backup basic batch beta block board build bytes cache call change channel check class client cloud code color commit config content control count create current data default delete demo design detail device digital document domain download dummy editor email engine entry error event example export false field file filter final first folder format found frame global graph group guide handler header hello here image import index info input insert install internal issue item java key label language large layout level library license light limit line link list local login main manager master memory message method mode model module monitor name network null number object offline online option order output package page panel parent password path pattern payment phone place plugin point policy private process product profile project proto public python query queue random range read record release remote report request resource response result root route sample schema screen script search secret section secure select server service session setting shared simple single size small source space stage start state static status storage store stream string style submit system table target template test text theme time title token total trace track tree trigger true type update upload user utils value vector version video view warning window word world write your".split()
 TEST_PATH = re.compile(r"(?i)test|example|sample|fixture|mock|docs?/|readme|lock$|sum$")
 KEY_PATH = re.compile(r"(?i)\.env|config|secret|credential|\.pem|\.key|settings|deploy")
+#: What is quoted or assigned after a secret word; the value is looked at ahead, so that it can hold another name and value.
+_ASSIGNED = re.compile(
+    rb"""(?i)(?:token|secret|key|passw(?:or)?d|passphrase|pwd|auth|bearer|credential|private|access|aws)[\w.\-]*+["'`\])]*[ \t]*"""
+    rb"""(?:(?::[ \t]*\w+[ \t]*=|[:!=]?==?>?|:)[ \t]*(?=(?:(?:bearer|basic)[ \t]+)?(?:"(?P<a>(?:[^"\\\r\n]|\\.)+)"|'(?P<b>(?:[^'\\\r\n]|\\.)+)'|`(?P<c>[^`\r\n]+)`|["'`]?(?P<d>[^\s"'`]+(?:["'`]+[^\s"'`,;:)\]}>]+)*)))"""
+    rb"""|[(,]?[ \t]*(?=(?:"(?P<e>(?:[^"\\\r\n]|\\.)+)"|'(?P<f>(?:[^'\\\r\n]|\\.)+)'|`(?P<g>[^`\r\n]+)`)))"""
+)
 _NEAR = re.compile(r"[A-Za-z0-9_]+")
 
-FEATURES = ["length", "entropy", "distinct", "digits", "upper", "lower", "other", "hex", "turns", "likelihood", "dictionary", "longest_run", "assigned", "quoted", "secret_before", "benign_before", "secret_after", "benign_after", "test_path", "key_path"]
+FEATURES = ["length", "entropy", "distinct", "digits", "upper", "lower", "other", "hex", "turns", "likelihood", "dictionary", "longest_run", "assigned", "quoted", "secret_before", "benign_before", "secret_after", "benign_after", "test_path", "key_path", "password_before", "spaces", "odd"]
 
 
 def transition_table() -> np.ndarray:
@@ -100,6 +107,9 @@ def features(candidate: str, before: str = "", after: str = "", path: str = "")
         has(then, BENIGN_WORDS),
         float(bool(TEST_PATH.search(path or ""))),
         float(bool(KEY_PATH.search(path or ""))),
+        float(any("pass" in w or "pwd" in w or "secret" in w for w in near[-1:])),
+        candidate.count(" ") / n,
+        sum(c in "!@#%^&*?~" for c in candidate) / n,
     ]
 
 
@@ -140,6 +150,37 @@ def example_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str,
             before, after, label = f"{prose()} {name}{sign}", f" {prose()}", 0
             path = rnd.choice([*paths, "package.lock", "go.sum", "tests/fixtures.json"])
         out.append((c, before, after, path, label))
+    # Values beside a secret word: short passwords, odd characters, letters alone and passphrases, and what only stands in their place.
+    syllables = lambda: "".join(some("bcdfghklmnprstvw", 1) + some("aeiou", 1) for _ in range(rnd.randint(2, 4)))
+    for i in range(n // 3):
+        quote = rnd.choice(["", '"', "'", '"'])
+        sign = rnd.choice([" = ", "=", ": ", ":"])
+        if i % 2 == 0:
+            name = rnd.choice(["password", "passwd", "pwd", "passphrase", "secret", "db_password", "client_secret", "PASSWORD"])
+            kind = rnd.randrange(4)
+            if kind == 0:
+                c = some(alnum + "!@#$%&*?", rnd.randint(8, 20))
+            elif kind == 1:
+                c = syllables().capitalize() + some(string.digits, rnd.randint(2, 4)) + some("!@#$%&*?", rnd.randint(0, 2))
+            elif kind == 2:
+                c, name = some(string.ascii_letters, rnd.randint(16, 40)), rnd.choice([name, "token", "api_key", "secret_key"])
+            else:
+                c, quote = rnd.choice([" ", "-"]).join(syllables() for _ in range(rnd.randint(4, 6))), '"'
+        else:
+            name = rnd.choice([*SECRET_WORDS, "access", "authorization", "password", "key"])
+            kind = rnd.randrange(5)
+            if kind == 0:
+                c = rnd.choice(["changeme", "<password>", "${TOKEN}", "$PASSWORD", "%s", "{}", "None", "null", "true", "false", "str", "string", "required", "your_password_here", "xxxxxxxx", "********", "...", "REDACTED", "[REDACTED]", "<your-key>", "yes", "no"])
+            elif kind == 1:
+                c, quote = rnd.choice(["os.environ", "config.", "self.", "get_", "settings.", "request."]) + rnd.choice(DICTIONARY) + rnd.choice(["", "()", "[0]", "_name", "(user)"]), ""
+            elif kind == 2:
+                c = rnd.choice(DICTIONARY)
+            elif kind == 3:
+                c, name = " ".join(rnd.sample(DICTIONARY, rnd.randint(2, 5))), rnd.choice([name, "key", "access"])
+            else:
+                c, quote = some("aeiounrtshld", rnd.randint(2, 9)), ""
+                name = rnd.choice(["key", "access", "private", "auth", "token"])
+        out.append((c, f"{prose()} {case(name)}{sign}{quote}", f"{quote} {prose()}", rnd.choice(paths), 1 - i % 2))
     return out
 
 
@@ -215,6 +256,13 @@ def candidates(data: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENG
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
     inside[1:-1] = KEY_BYTES[data]
+    # A row of = with a key character of the same text behind it separates; else it is padding.
+    equal = np.flatnonzero(data == 61)
+    if len(equal):
+        last = np.flatnonzero(np.append(equal[1:] != equal[:-1] + 1, True))
+        behind = equal[last] + 1
+        inner = (behind < n) & KEY_BYTES[data[np.minimum(behind, n - 1)]] & ~np.isin(behind, offsets)
+        inside[equal[np.repeat(inner, np.diff(last, prepend=-1))] + 1] = False
     starts, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     cuts = offsets[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < n)]
@@ -229,25 +277,42 @@ def candidates(data: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENG
     return np.searchsorted(offsets, start, "right") - 1, start, end
 
 
-def _judged(batch: pa.RecordBatch, text: str, path: str | None, forest: Forest) -> Iterator[tuple[bytes, list[tuple[int, int, float]]]]:
+def assigned(raw: bytes, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values after secret words between start and stop."""
+    for m in _ASSIGNED.finditer(raw, start, stop):
+        s, e = m.span(m.lastgroup)
+        if m.lastgroup == "d":
+            e -= (e - s) - len(raw[s:e].rstrip(b".,;:)]}>"))  # what closes the sentence or the call
+        if e > s:
+            yield s, e
+
+
+def _judged(batch: pa.RecordBatch, text: str, path: str | None, forest: Forest, threshold: float = 0.5) -> Iterator[tuple[bytes, list[tuple[int, int, float]]]]:
     """Of each row: its bytes (of rows with candidates) and (start, stop, score) of the candidates, in bytes."""
     paths = batch.column(path).to_pylist() if path else None
     for at, data, offsets in hashing.chunks(batch.column(text)):
         row, start, end = candidates(data, offsets)
-        raw = data.tobytes() if len(row) else b""
+        raw = data.tobytes()
         rows = len(offsets) - 1
         found: list[list[tuple[int, int, float]]] = [[] for _ in range(rows)]
         x, where = [], []
+        spans = set()
         for r, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
             e -= len(raw[s:e]) - len(raw[s:e].rstrip(b"."))  # a full stop is the sentence's
-            if e - s < MIN_LENGTH:
-                continue
+            if e - s >= MIN_LENGTH:
+                spans.add((r, s, e))
+        for r in range(rows):
+            spans |= {(r, s, e) for s, e in assigned(raw, int(offsets[r]), int(offsets[r + 1]))}
+        for r, s, e in sorted(spans):
             lo, hi = max(int(offsets[r]), s - CONTEXT), min(int(offsets[r + 1]), e + CONTEXT)
-            x.append(features(raw[s:e].decode("ascii"), raw[lo:s].decode("utf-8", "ignore"), raw[e:hi].decode("utf-8", "ignore"), (paths[at + r] or "") if paths else ""))
+            x.append(features(raw[s:e].decode("utf-8", "replace"), raw[lo:s].decode("utf-8", "ignore"), raw[e:hi].decode("utf-8", "ignore"), (paths[at + r] or "") if paths else ""))
             where.append((r, s - int(offsets[r]), e - int(offsets[r])))
         if x:
             for (r, s, e), score in zip(where, forest.scores(np.array(x)).tolist(), strict=True):
                 found[r].append((s, e, score))
+            # What lies within a longer secret is part of it.
+            hit = [[(s, e) for s, e, p in f if p >= threshold] for f in found]
+            found = [[d for d in f if not any(s <= d[0] and d[1] <= e and (s, e) != d[:2] for s, e in h)] if h else f for f, h in zip(found, hit, strict=True)]
         for r in range(rows):
             yield (raw[offsets[r] : offsets[r + 1]] if found[r] else b""), found[r]
 
@@ -266,13 +331,13 @@ def scan_secrets(docs: DataFrame, forest: Forest, *, text: str = "text", path: s
         grown = Forest(sent.value)
         for b in batches:
             found, texts = [], b.column(read).to_pylist() if redacted else []
-            for i, (raw, rows) in enumerate(_judged(b, read, "_sec_path" if path else None, grown)):
+            for i, (raw, rows) in enumerate(_judged(b, read, "_sec_path" if path else None, grown, threshold)):
                 found.append([{"start": s, "stop": e, "score": p, "secret": p >= threshold} for s, e, p in rows])
                 if redacted and any(p >= threshold for *_, p in rows):
                     parts, at = [], 0
                     for s, e, p in rows:
                         if p >= threshold:
-                            parts += [raw[at:s], REDACTED]
+                            parts += [raw[at:s], REDACTED] if s >= at else []  # overlapping secrets go together
                             at = e
                     texts[i] = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
             columns = [*[b.column(c) for c in keep], pa.array(found, kind)] + ([pa.array(texts, pa.string())] if redacted else [])

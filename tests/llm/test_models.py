@@ -134,3 +134,15 @@ def test_toxicity_trains_on_the_whole_sample(spark, monkeypatch):
     assert seen == [(4000, 12000)]
     monkeypatch.undo()
     assert inspect.signature(toxicity.train_nnpu).parameters["steps"].default == 300
+
+
+def test_secrets_of_any_form(spark):
+    values = ["Tr0ub4d&r", "hK#9!mZq2$Lw", "QwhTzrPkLmNvBxsYdGfj", "bafo kelu nimo supa tiro"]
+    texts = [f'password = "{v}" end' for v in values] + ["db_password=Vuno82!x end", "export AWS_SECRET_ACCESS_KEY=9fK2mQ7xW4nB8vL1pZ6tR3yC end"]
+    held = [*values, "Vuno82!x", "9fK2mQ7xW4nB8vL1pZ6tR3yC"]
+    plain = ["password = None", 'the key: "name"', "access: private", "password = ${PASSWORD}", "token: string"]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "i int, text string")
+    rows = sorted(secrets.scan_secrets(df, secrets.train_forest(), redacted="clean").collect())
+    for r, v in zip(rows, held, strict=False):
+        assert r.clean == r.text.replace(v, "[REDACTED]"), (r.text, r.clean, r.findings)
+    assert [r.clean for r in rows[len(texts) :]] == plain
