@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,34 +22,85 @@ cloudpickle.register_pickle_by_value(plumbframe)
 #: A word: a run of anything but ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch of rows for Python, where the session names none.
+BATCH_BYTES = "8m"
+
+_written: dict[str, SparkSession] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a local one, if master is local; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="plumbframe-")
+        _written[folder] = spark
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; it is deleted by discard, clean or at the end of the program."""
+    path = f"{shared_folder(spark)}/plumbframe/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once into the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plumbframe/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._plumbframe_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    with contextlib.suppress(Exception):  # a folder left behind costs space, not results
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        return
+    if path.startswith("file:/"):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of durable that nothing reads any more."""
+    for t in tables:
+        _delete(t._plumbframe_path)
+
+
+@atexit.register
+def clean() -> None:
+    """Delete all that was written into the shared folder and not discarded. Results that still read from it end here too."""
+    for path in list(_written):
+        _delete(path)
+
+
+def configure(spark: SparkSession) -> None:
+    """Batches for Python are bounded in bytes, where the session doesn't set a bound: texts are long, and both sides hold a batch or more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def configured(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, or the stage, in a session that is configured. The operators themselves leave the session as it is."""
 
+    @wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        configure(spark)
+        return query(spark, *args)
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python in batches of 1,000, where the session has Spark's default of 10,000: texts are long, and both sides hold a batch or more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    return run
 
 
 def word_count(text: Column) -> Column:
@@ -79,11 +134,17 @@ def hash_unit(*parts: Column) -> Column:
 
 
 def sampled_ids(rows: DataFrame, doc_id: str, n: int, seed: str) -> DataFrame:
-    """The n ids of smallest hash (fewer, if there are fewer), in a column _id: n rows at most, whatever the input.
+    """The n distinct ids of smallest hash (fewer, if there are fewer), in a column _id: n rows at most, whatever the input.
 
-    Rows far above the nth smallest hash are filtered out before anything is ordered, so no task sends much more than its share of n.
+    Rows far above the nth smallest hash are filtered out before anything is ordered, so no task sends much more than its share of n. Where
+    repeated ids leave too few, the bound is raised.
     """
     ids = rows.select(F.col(doc_id).alias("_id")).filter(F.col("_id").isNotNull())
-    total = ids.count()
-    u = hash_unit(F.lit(seed), F.col("_id"))
-    return ids.withColumn("_u", u).filter(F.col("_u") <= min(1.0, (1.5 * n + 100) / max(total, 1))).distinct().orderBy("_u", "_id").limit(n).select("_id")
+    ids = ids.withColumn("_u", hash_unit(F.lit(seed), F.col("_id")))
+    below = (1.5 * n + 100) / max(ids.count(), 1)
+    while True:
+        found = durable(ids.filter(F.col("_u") <= min(1.0, below)).distinct().orderBy("_u", "_id").limit(n).select("_id"), "ids")
+        if below >= 1 or found.count() == n:
+            return found
+        discard(found)
+        below *= 8

@@ -1,25 +1,26 @@
 """Word hashes of whole columns of text at once, on the bytes of Arrow buffers.
 
-The hash of a word is a polynomial of its bytes modulo 2**64, taken from running sums, then mixed: no Python object is made
-for a word. It depends on nothing but the bytes, so all workers and reruns agree.
+A word of up to LANES * 8 bytes is read as 8-byte numbers, which are mixed one after the other on top of its length: a bijection for words of up to 8
+bytes, so those can't collide with words of their length. Longer words, which are rare, get 64 bits of BLAKE2b. Nothing but the bytes
+and the key decide, so all workers and reruns agree. Whoever knows the key can craft texts that collide; pass one of your own for hostile texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_KEPT: dict[str, np.ndarray] = {}
+LANES = 4
+_FIRST = np.array([(1 << 8 * r) - 1 for r in range(9)], dtype=np.uint64)
 
 #: Bytes of texts handled at once (more where one text is longer).
 CHUNK = 1 << 19
 
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[65:91] += np.uint64(32)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += np.uint8(32)
 
 #: Anything but ASCII white space.
 SPACED = np.ones(256, dtype=bool)
@@ -30,15 +31,6 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_KEPT.get("power", ())) < n:
-        for name, base in (("power", _BASE), ("inverse", _INVERSE)):
-            p = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
-            p[0] = 1
-            _KEPT[name] = np.cumprod(p, dtype=np.uint64)
-    return _KEPT["power"], _KEPT["inverse"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -64,10 +56,14 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+def _seeded(length: np.ndarray, key: int) -> np.ndarray:
+    return mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & (2**64 - 1)))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, prefixes: tuple[int, ...] = (), key: int = 0) -> tuple[np.ndarray, ...]:
     """(hash, start, end, row) of each word of a chunk, in order; A-Z count as a-z.
 
-    With prefixes, also (hash, row) of the beginnings of those lengths in bytes, of the words that are longer.
+    With prefixes (of up to 8 bytes), also (hash, row) of the beginnings of those lengths in bytes, of the words that are longer.
     """
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
@@ -79,17 +75,27 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM, prefi
     starts[cuts] |= inside[cuts + 1]  # a text begins here
     ends[cuts - 1] |= inside[cuts]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    power, inverse = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((LOWER[data] + np.uint64(1)) * power[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * inverse[start])
+    low = np.zeros(n + 8, dtype=np.uint8)
+    low[:n] = LOWER[data]
+    eight = np.ndarray((n + 1,), "<u8", low, strides=(1,))  # the 8 bytes from each place on
+    length = end - start
+    h = mix(_seeded(length, key) ^ (eight[start] & _FIRST[np.minimum(length, 8)]))
+    for lane in range(1, LANES):
+        some = np.flatnonzero(length > 8 * lane)
+        if not len(some):
+            break
+        x = eight[start[some] + 8 * lane] & _FIRST[np.minimum(length[some] - 8 * lane, 8)]
+        h[some] = mix(h[some] * np.uint64(0xD6E8FEB86659FD93) ^ x)
+    secret = (key & (2**64 - 1)).to_bytes(8, "little")
+    for i in np.flatnonzero(length > 8 * LANES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
     row = np.searchsorted(offsets, start, "right") - 1
     if not prefixes:
         return h, start, end, row
     begins, rows = [], []
     for k in prefixes:
-        long = np.flatnonzero(end - start > k)
-        begins.append(mix((sums[start[long] + k] - sums[start[long]]) * inverse[start[long]] + np.uint64(k << 56)))
+        long = np.flatnonzero(length > k)
+        begins.append(mix(_seeded(np.full(len(long), 256 + k), key) ^ (eight[start[long]] & _FIRST[k])))
         rows.append(row[long])
     return h, start, end, row, np.concatenate(begins), np.concatenate(rows)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbframe.llm import bpe, decontam, jaccard, licenses, mixing, quality, secrets, topk, toxicity, warc
+from plumbframe.llm.common import configured
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
 }
+QUERIES = {name: configured(query) for name, query in QUERIES.items()}
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,

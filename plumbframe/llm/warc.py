@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbframe.llm.common import durable, shared_folder, small_batches, table
+from plumbframe.llm.common import durable, fresh_path, table
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -99,7 +99,6 @@ def page_records(page_id: int | None, url: str | None, html: str | None, digest:
 
 def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 8192, chunk_bytes: int = 4096, records_per_file: int = 4096) -> None:
     """Write pages as WARC files of at most records_per_file records below path."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     # Written out, so that its size is known when the join is planned: few repeated payloads are broadcast, many are shuffled.
     per_id = rows.groupBy("sha1", "page_id").agg(F.count(F.lit(1)).alias("n"))
@@ -198,7 +197,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/plumbframe/warc-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     # Digests are written out: both sides of the join below come from one reading.
     read = read_archives(spark, path).select("record_id", "record_type", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("n"), base32(F.sha1("payload")).alias("digest"))

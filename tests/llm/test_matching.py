@@ -7,9 +7,11 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from plumbframe.llm import decontam, jaccard, topk, warc
+from plumbframe.llm import decontam, hashing, jaccard, topk, warc
 from plumbframe.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +95,38 @@ def test_jaccard_with_small_groups_and_tasks(spark, tables, monkeypatch):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == components(rows, 4, 85)
 
 
+def test_jaccard_beyond_the_broadcast(spark, tables, monkeypatch):
+    """Texts are shuffled to where sets go; the links are the same."""
+    monkeypatch.setattr(jaccard, "ROUTES_BYTES", 0)
+    rows = near_corpus(3)
+    got = jaccard.op8_jaccard(spark, tables(documents=rows)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got if r.doc_id is not None} == components(rows, 4, 85)
+
+
+def thue_morse(n, swap=False):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b ^ swap] for b in bits[:n])
+
+
+def test_words_that_collide_in_polynomials_stay_apart(spark, tables):
+    rows = [(2 * i + s, thue_morse(n, s)) for i, n in enumerate((8, 16, 33, 1024, 2048, 4096, 8192)) for s in (0, 1)]
+    rows.append((100, thue_morse(8192)))
+    got = {r.doc_id: r.component_id for r in jaccard.op8_jaccard(spark, tables(documents=rows)).collect()}
+    assert got == {i: i for i, _ in rows} | {100: 12}
+
+
+def test_word_hashes_follow_bytes_and_key():
+    rnd = random.Random(9)
+    words = sorted({"".join(rnd.choice("aé🙂bcdefghB") for _ in range(rnd.randint(1, 40))).lower() for _ in range(20000)})
+    of = lambda text, key=0: np.concatenate([hashing.words(data, offsets, hashing.SPACED, key=key)[0] for _, data, offsets in hashing.chunks(pa.array([None, text, ""]))])
+    here = of(" ".join(words))
+    assert len(np.unique(here)) == len(words)
+    assert (here == of("\t".join(w.replace("b", "B") for w in reversed(words)))[::-1]).all()
+    assert not np.isin(of("z" * 10**6), here).any() and not np.isin(of(" ".join(words), key=1), here).any()
+
+
 def test_jaccard_edges(spark, tables):
     assert jaccard.op8_jaccard(spark, tables(documents=[])).collect() == []
     # Rows of equal id are one document, with the links of both.
