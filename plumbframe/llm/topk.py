@@ -1,29 +1,38 @@
 """Exact top-k search by inner product: a ball tree for each shard, searched by branch and bound.
 
-A node's bound is q.c + |q| r for its centre c and radius r; nodes are opened in order of their bound, and none whose bound is below the
-query's kth score so far. That score is shared: all queries first search one shard, and its kth score is where the search of the others begins.
-Queries go in blocks to every shard; shards and blocks have a fixed size, so a task's memory doesn't depend on the input.
-Scores are exact: whole numbers below 2**53 in floating point, else Python integers.
+A node's bound is q.c + |q| r for its centre c and radius r. Of a tree, nodes whose bound is below a query's kth score are left out with all below
+them, and the leaves left are opened in the order of their bound, as long as that is no less than the kth score so far. Shards are searched in
+rounds of a sixteenth, three sixteenths and the rest: within a task the kth scores go from tree to tree, between rounds from all tasks to all.
 
-Edge cases: vectors that are null or hold a null, a NaN or an infinity take no part; shorter vectors count as filled up with 0; ties go to
-the smaller id; rows without an id take no part; equal ids stand for different rows, but a query never meets its own id.
+Trees are planted where the rows lie, at most shard_rows each, and written once; no vector is shuffled. Queries come through the driver in blocks of a fixed size,
+each of which is broadcast and searched for in numpy, a leaf at a time for all queries that need it. What a task gives back is k rows a query at most.
+
+Scores are exact: whole numbers below 2**53 in floating point, else Python integers. Those beyond 64 bits count as the end of that range.
+
+Edge cases: vectors that are null or hold a null, a NaN or an infinity take no part (op6_topk; top_k expects whole numbers); shorter vectors count as
+filled up with 0; ties go to the smaller id; rows without an id take no part; equal ids stand for different rows, but a query never meets its own id, and
+queries of equal id are ranked together; without queries or other rows the result is empty; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbframe.llm.common import durable, table
+from plumbframe.llm.common import discard, durable, fresh_path, table
 
 LEAF = 128
+BLOCK_BYTES = 8 << 20
+LEAST, MOST = -(2**63), 2**63 - 1
+ROUNDS = 3
 
 
 @dataclass
@@ -32,7 +41,7 @@ class BallTree:
 
     ids: np.ndarray
     points: np.ndarray
-    exact: bool
+    largest: float
     lo: np.ndarray
     hi: np.ndarray
     centre: np.ndarray
@@ -47,115 +56,193 @@ class BallTree:
         while at < len(spans):
             lo, hi = spans[at]
             x = points[order[lo:hi]]
-            c = x.mean(axis=0) if hi > lo else np.zeros(points.shape[1])
-            away = np.sqrt(((x - c) ** 2).sum(axis=1)) if hi > lo else np.zeros(1)
+            c = x.mean(axis=0)
+            away = np.sqrt(((x - c) ** 2).sum(axis=1))
             centres.append(c)
             radii.append(away.max())
-            if hi - lo <= leaf or away.max() == 0:
+            if hi - lo <= leaf:
                 first.append(0)
             else:
                 # Along the line through the row furthest from the centre and the one furthest from that.
                 a = x[away.argmax()]
                 b = x[((x - a) ** 2).sum(axis=1).argmax()]
-                side = np.argsort(x @ (b - a), kind="stable")
-                order[lo:hi] = order[lo:hi][side]
+                order[lo:hi] = order[lo:hi][np.argsort(x @ (b - a), kind="stable")]
                 mid = (lo + hi) // 2
                 first.append(len(spans))
                 spans += [(lo, mid), (mid, hi)]
             at += 1
+        largest = float(np.abs(points).max(initial=0))
+        kind = np.int16 if largest < 2**15 else np.int32 if largest < 2**31 else np.float64
         spans_ = np.array(spans)
-        largest = float(np.abs(points).max()) if points.size else 0.0
-        return cls(ids[order], points[order], largest < 2**24, spans_[:, 0], spans_[:, 1], np.array(centres), np.array(radii), np.array(first))
-
-    def search(self, query_id: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """The k best (score, id) of this tree that are no worse than floor, best first, ties by smaller id."""
-        norm = float(np.sqrt((q * q).sum()))
-        slack = 1e-9 * (norm * float(np.abs(self.centre).max(initial=0)) * math.sqrt(len(q) + 1) + norm * float(self.radius[0])) + 1e-6
-        bounds = self.centre @ q + norm * self.radius + slack
-        exact = self.exact and float(np.abs(q).max(initial=0)) < 2**24
-        best: list[tuple[int, int]] = []  # a heap, the worst first: (score, -id)
-        open_ = [(-bounds[0], 0)]
+        return cls(ids[order], points[order].astype(kind), largest, spans_[:, 0], spans_[:, 1], np.array(centres), np.array(radii), np.array(first))
+
+
+class Block:
+    """Some queries and the k best that each has met so far; floor is the score below which nothing counts."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray):
+        self.ids, self.vectors, self.k, self.floor = ids, vectors, k, floor
+        self.norm = np.sqrt((vectors * vectors).sum(axis=1))
+        self.largest = float(np.abs(vectors).max(initial=0))
+        self.query, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+        self.kth = floor.copy()
+
+    def offer(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        q, s, i = np.concatenate((self.query, query)), np.concatenate((self.score, score)), np.concatenate((self.id, ids))
+        order = np.lexsort((i, ~s, q))  # ~s falls as s rises, and never overflows
+        q, s, i = q[order], s[order], i[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.k
+        self.query, self.score, self.id = q[kept], s[kept], i[kept]
+        full = rank == self.k - 1
+        self.kth[q[full]] = np.maximum(self.floor[q[full]], s[full])
+
+    def search(self, tree: BallTree) -> None:
+        """Offer the rows of a tree that can be among the k best."""
+        width = tree.points.shape[1]
+        q = np.zeros((len(self.ids), width))
+        q[:, : self.vectors.shape[1]] = self.vectors[:, :width]
+        exact = tree.largest * self.largest * width < 2**53
+        slack = 1e-9 * (self.norm * float(np.abs(tree.centre).max(initial=0)) * math.sqrt(width + 1) + self.norm * float(tree.radius[0])) + 1e-6
+        bound = lambda node, some: np.maximum(q[some] @ tree.centre[node] + self.norm[some] * tree.radius[node] + slack[some], float(LEAST))
+        open_, found = [(0, np.arange(len(q)))], []
         while open_:
-            bound, node = heapq.heappop(open_)
-            kth = best[0][0] if len(best) == k else floor
-            if -bound < max(kth, floor):
-                break
-            if child := self.first[node]:
-                for c in (child, child + 1):
-                    if bounds[c] >= max(kth, floor):
-                        heapq.heappush(open_, (-bounds[c], c))
+            node, some = open_.pop()
+            at_most = bound(node, some)
+            hold = at_most >= self.kth[some]
+            some = some[hold]
+            if not len(some):
                 continue
-            lo, hi = self.lo[node], self.hi[node]
-            if exact:
-                scores = self.points[lo:hi] @ q
-                some = np.flatnonzero(scores >= max(kth, floor))
-                found = [(int(scores[i]), -int(self.ids[lo + i])) for i in some]
+            if child := int(tree.first[node]):
+                open_ += [(child, some), (child + 1, some)]
             else:
-                whole = [int(x) for x in q]
-                found = [(sum(int(a) * b for a, b in zip(p, whole, strict=True)), -int(i)) for p, i in zip(self.points[lo:hi], self.ids[lo:hi], strict=True)]
-            for s in found:
-                if -s[1] == query_id or s[0] < floor:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, s)
-                elif s > best[0]:
-                    heapq.heapreplace(best, s)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
-
-
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+                found.append((np.full(len(some), node), some, at_most[hold]))
+        if not found:
+            return
+        leaf, query, at_most = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((-at_most, query))
+        leaf, query, at_most = leaf[order], query[order], at_most[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        begin, end = 0, 1
+        while begin <= rank.max():
+            # The best leaf of every query, then its second best, then the next two, four, ...
+            now = np.flatnonzero((rank >= begin) & (rank < end) & (at_most >= self.kth[query]))
+            now = now[np.argsort(leaf[now], kind="stable")]
+            offers = [self._open(tree, int(leaf[part[0]]), q, query[part], exact) for part in np.split(now, np.flatnonzero(np.diff(leaf[now])) + 1) if len(part)]
+            if offers:
+                self.offer(*(np.concatenate(c) for c in zip(*offers, strict=True)))
+            begin, end = end, 2 * end
+
+    def _open(self, tree: BallTree, leaf: int, q: np.ndarray, some: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, points = tree.ids[tree.lo[leaf] : tree.hi[leaf]], tree.points[tree.lo[leaf] : tree.hi[leaf]]
+        if exact:
+            scores = (q[some] @ points.T.astype(np.float64)).astype(np.int64)
+        else:
+            whole = np.frompyfunc(int, 1, 1)
+            scores = np.frompyfunc(lambda s: min(max(s, LEAST), MOST), 1, 1)(whole(q[some]) @ whole(points.T)).astype(np.int64)
+        other = ids[None, :] != self.ids[some][:, None]
+        least = self.kth[some]
+        if len(ids) > self.k:
+            # Only the k best of a leaf count, and what ties with the last of them.
+            least = np.maximum(least, np.partition(np.where(other, scores, LEAST), -self.k, axis=1)[:, -self.k])
+        row, column = np.nonzero(other & (scores >= least[:, None]))
+        return some[row], scores[row, column], ids[column]
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """The vectors as rows, filled up with 0 to the longest."""
+    size = np.asarray(vectors.value_lengths().fill_null(0), np.int64)
+    out = np.zeros((len(size), max(1, int(size.max(initial=0)))))
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = np.asarray(vectors.flatten(), float)
     return out
 
 
-def top_k(vectors: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "vector", shard_rows: int = 16384, block_rows: int = 2048, blocks_together: int = 8) -> DataFrame:
+def _blocks(asked: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of blocks of at most that many queries and about BLOCK_BYTES; one partition is fetched at a time."""
+    ids, vectors, size = [], [], 0
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        return np.array(ids, np.int64), _matrix(pa.array(vectors, pa.list_(pa.float64())))
+
+    for i, v in asked.toLocalIterator():
+        ids.append(i)
+        vectors.append(v)
+        size = max(size, len(v))
+        if len(ids) == rows or len(ids) * size * 8 >= BLOCK_BYTES:
+            yield made()
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield made()
+
+
+def top_k(vectors: DataFrame, *, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "vector", shard_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that the condition queries picks, against all rows. vector: array of whole numbers as doubles."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("_query")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    rows = durable(rows, "vectors")
-    n, n_queries, width = rows.agg(F.count(F.lit(1)), F.sum(F.col("_query").cast("long")), F.max(F.size("v"))).first()
-    shards, blocks, width = max(1, math.ceil(n / shard_rows)), max(1, math.ceil((n_queries or 0) / block_rows)), max(1, width or 0)
-    groups = math.ceil(blocks / blocks_together)
-    spread = lambda c, m: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(m)).cast("int")
-
-    def plant(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = BallTree.build(pdf["id"].to_numpy(), _matrix(pdf["v"], width))
-        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps(vars(tree))]})
-
-    trees = durable(rows.select(spread("id", shards).alias("shard"), "id", "v").groupBy("shard").applyInPandas(plant, "shard int, tree binary"), "trees")
-    asked = rows.filter("_query").select("id", "v", spread("id", blocks).alias("block")).withColumn("group", F.col("block") % groups)
-
-    def search(key: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(t):
-            tree = BallTree(**pickle.loads(t["tree"][0]))
-            for i, x, floor in zip(q["id"], _matrix(q["v"], width), q["floor"], strict=True):
-                out += [(i, j, s) for s, j in tree.search(int(i), x, k, float(floor))]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
-
-    def run(asked: DataFrame, of_shards: DataFrame) -> DataFrame:
-        copies = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-        return asked.groupBy("shard", "group").cogroup(of_shards.select("shard", "tree", copies).groupBy("shard", "group")).applyInPandas(search, "query_id long, vec_id long, score long")
-
-    lowest = F.lit(-math.inf)
-    first = durable(run(asked.select("id", "v", "group", F.lit(0).alias("shard"), lowest.alias("floor")), trees.filter("shard = 0")), "seeds")
-    out = first
-    if shards > 1:
-        floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("seed"))
-        asked = asked.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "group", F.coalesce("seed", lowest).alias("floor"), F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("shard"))
-        out = out.unionByName(run(asked, trees.filter("shard > 0")))
-    # At most k rows of each query and shard.
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("asked")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, planted = [], 0
+
+        def tree(n: int) -> pa.RecordBatch:
+            nonlocal waiting, planted
+            every = pa.Table.from_batches(waiting).combine_chunks()
+            now, waiting = every.slice(0, n), every.slice(n).to_batches()
+            part = TaskContext.get().partitionId()
+            turn = 0 if part % 16 == 0 and not planted else 1 if part % 4 == 0 else 2
+            planted += 1
+            made = pickle.dumps(vars(BallTree.build(np.asarray(now.column("id")), _matrix(now.column("v").combine_chunks()))))
+            return pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([made], pa.binary())], ["turn", "tree"])
+
+        for b in batches:
+            waiting.append(b)
+            while sum(w.num_rows for w in waiting) >= shard_rows:
+                yield tree(shard_rows)
+        if left := sum(w.num_rows for w in waiting):
+            yield tree(left)
+
+    trees = durable(rows.select("id", "v").mapInArrow(plant, "turn int, tree binary"), "trees")
+    asked = durable(rows.filter("asked").select("id", "v"), "queries")
+    turns = sorted(r[0] for r in trees.select("turn").distinct().collect())  # ROUNDS at most
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    path, waves = fresh_path(spark, "found"), 0
+    for ids, q in _blocks(asked, block_rows):
+        # Broadcast: a block of block_rows queries or BLOCK_BYTES.
+        sent = spark.sparkContext.broadcast((ids, q))
+        floor = np.full(len(ids), LEAST, np.int64)
+        here = f"{path}/wave={waves}"
+        for turn in turns:
+
+            def search(batches: Iterator[pa.RecordBatch], floor: np.ndarray = floor, sent=sent) -> Iterator[pa.RecordBatch]:
+                block = Block(*sent.value, k, floor)
+                for b in batches:
+                    for t in b.column("tree"):
+                        block.search(BallTree(**pickle.loads(t.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array(block.query), pa.array(block.ids[block.query]), pa.array(block.id), pa.array(block.score)], ["query", "query_id", "vec_id", "score"])
+
+            trees.filter(F.col("turn") == turn).select("tree").mapInArrow(search, "query long, query_id long, vec_id long, score long").write.mode("append").parquet(here)
+            if turn != turns[-1]:
+                kth = spark.read.parquet(here).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query", "score").collect()  # one row a query of the block
+                floor = floor.copy()
+                floor[[r[0] for r in kth]] = [r[1] for r in kth]
+        sent.unpersist()
+        waves += 1
+    discard(trees, asked)
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(path) if waves and turns else spark.createDataFrame([], "query_id long, vec_id long, score long")
+    of_id = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(of_id)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def whole(x: Column) -> Column:
+    """floor(256 * x) as double; from 2**53 on every double is whole, and Spark's floor would stop at 64 bits."""
+    y = x.cast("double") * 256
+    return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     x = F.col("embedding")
-    whole = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))), F.lit(False))
-    vectors = rows.filter(whole).select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * 256).cast("double")).alias("vector"))
+    finite = F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))), F.lit(False))
+    vectors = rows.filter(finite).select("vec_id", F.transform(x, whole).alias("vector"))
     return top_k(vectors, queries=F.col("vec_id") % 50 == 0)
 
 

@@ -213,21 +213,22 @@ def test_top_k(spark, tables):
     rows = [(i, [rnd.gauss(0, 0.3) + (i % 5) * 0.1 for _ in range(8)], 0) for i in range(700)]
     rows += [(700 + i, rows[50][1], 0) for i in range(60)]  # ties
     rows += [(900, None, 0), (950, [math.nan] * 8, 0), (951, [math.inf] + [0.0] * 7, 0), (952, [None] * 8, 0), (None, [0.1] * 8, 0), (1000, [], 0), (1001, [3.0], 0), (1050, [1e30] * 8, 0)]
-    d = tables(embeddings=[(i, v, n) for i, v, n in rows if i != 1050])
+    rows += [(1100, [-1e30] * 8, 0), (1150, [1e17] * 8, 0), (1151, [float(2**23)] * 8, 0)]
+    d = tables(embeddings=rows)
     import struct
 
     whole = lambda x: math.floor(256 * struct.unpack("f", struct.pack("f", x))[0])
-    vs = {i: [whole(x) for x in v] for i, v, _ in rows if i not in (None, 1050) and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    vs = {i: [whole(x) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = {}
     for q in (i for i in vs if i % 50 == 0):
-        s = sorted((-sum(a * b for a, b in zip(vs[q], vs[c])), c) for c in vs if c != q)[:5]
+        s = sorted((-min(max(sum(a * b for a, b in zip(vs[q], vs[c])), -(2**63)), 2**63 - 1), c) for c in vs if c != q)[:5]
         want |= {(q, r): (c, -x) for r, (x, c) in enumerate(s, 1)}
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.op6_topk(spark, d).collect()}
     assert got == want
     from pyspark.sql import functions as F
 
     vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vs.items()], "vec_id long, vector array<double>")
-    small = topk.top_k(vectors, queries=F.col("vec_id") % 50 == 0, shard_rows=100, block_rows=4, blocks_together=2)
+    small = topk.top_k(vectors, queries=F.col("vec_id") % 50 == 0, shard_rows=100, block_rows=4)
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in small.collect()} == want
     assert topk.op6_topk(spark, tables(embeddings=[])).collect() == []
     assert [tuple(r) for r in topk.op6_topk(spark, tables(embeddings=[(0, [1.0], 0), (1, [-1.0], 0)])).collect()] == [(0, 1, 1, -65536)]
