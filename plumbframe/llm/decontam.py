@@ -2,25 +2,33 @@
 
 Each benchmark item of m words has a SimHash fingerprint of its word shingles. Of the documents, windows of m words are fingerprinted
 the same way where they can matter: a window that shares no shingle with any item has similarity 0, so windows are laid
-where a shingle of some item stands, aligned as in the item. Fingerprints meet in a multi-index: cut into radius + 1 blocks, any two within the
-radius agree in one block at least. Candidates are then compared exactly: the shingles of both with their numbers of occurrence,
-as sum of minima over sum of maxima.
+where a shingle of some item stands, aligned as in the item.
+
+The index is kept in two levels. A window that is similar enough to an item holds at least one of the item's rarest shingles (of n, the n - ceil(percent % of n) + 1
+that fewest items hold), so windows and items only meet in the bucket of such a shingle. Within it fingerprints meet by Hamming blocks: cut into radius + 1 blocks,
+any two within the radius agree in one at least. With a radius as wide as a similarity of 0.8 asks for, blocks of 2 or 3 bits alone would let nearly all pairs
+through; the buckets bound the candidates. Items of fewer than direct shingles, whose fingerprints scatter most, are compared without fingerprints.
+Candidates are then compared exactly: the shingles of both with their numbers of occurrence, as sum of minima over sum of maxima.
 
 All of it is DataFrame code. The shingles of the benchmark are broadcast in blocks of at most block_shingles (a count is taken first), so what is
-broadcast has a fixed size; more shingles mean more passes. Documents are never shuffled but for those that hold a shingle of an item.
+broadcast has a fixed size; more shingles mean more passes. Documents are never shuffled but for those that hold a rare shingle of an item.
 
 Edge cases: null and empty texts or items match nothing; an item of fewer words than a shingle has its whole sequence as its only shingle; a document
-shorter than an item is one window; rows of equal id and text have the same result; ties go to the smaller item, then the earlier window.
+shorter than an item is one window; a very long text gives its windows, each a row of its own; rows of equal id and text have the same result, and are told
+from others by 128 bits of hash; ties go to the smaller item, then the earlier window; without items or documents the result is empty, or nothing is
+dropped; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbframe.llm.common import durable, table
+from plumbframe.llm.common import discard, durable, table
 from plumbframe.llm.licenses import GAP
 
 BITS = 64
@@ -52,9 +60,21 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.transform(ones, lambda n, b: F.when(n > half, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def occurrences(hashes: Column) -> Column:
-    """Each hash together with how many times it came before: sets of these are the multisets of the hashes."""
-    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
+    """Each hash together with how many times it came before: sets of these are the multisets of the hashes. One sort, else linear."""
+
+    def of_runs(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        begins = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        lengths = let(begins, lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), lambda i, j: F.struct(F.get(s, i).alias("h"), (j - i).alias("n"))))
+        return F.flatten(F.transform(lengths, lambda r: F.transform(F.sequence(F.lit(1), r.n), lambda k: F.xxhash64(r.h, k))))
+
+    return F.when(F.size(hashes) > 0, let(F.array_sort(hashes), of_runs)).otherwise(F.array().cast("array<bigint>"))
 
 
 def blocks_of(fingerprint: Column, radius: int) -> Column:
@@ -64,60 +84,81 @@ def blocks_of(fingerprint: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell a row by its id and text."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("plumbframe"), text, doc_id).alias("b"))
+
+
+def _rarest(items: DataFrame, percent: int) -> DataFrame:
+    """m, h, item, ifp, n: the rarest shingles of each item, one of which every window holds that is similar enough to it."""
+    held = items.select("item", "m", "n", "fp", F.explode("sh").alias("h"))
+    holders = held.groupBy("h").agg(F.countDistinct("item").alias("holders"))
+    # Of a shingle that an item has several times, each occurrence counts as one.
+    ranked = held.join(holders, "h").groupBy("item", "m", "n", "fp").agg(F.array_sort(F.collect_list(F.struct("holders", "h"))).alias("order"))
+    enough = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("int") + 1
+    return ranked.select("item", "m", "n", F.col("fp").alias("ifp"), F.explode(F.array_distinct(F.transform(F.slice("order", 1, enough), lambda x: x.h))).alias("h"))
+
+
+def candidates(windows: DataFrame, rare: DataFrame, *, radius: int, direct: int) -> DataFrame:
+    """key, start, m, item of the windows and items that meet in the bucket of a rare shingle, and there by a Hamming block and the radius."""
+    seen = windows.select("key", "start", "m", "fp", F.explode(F.array_distinct("sh")).alias("h"))
+    agree = F.arrays_overlap(blocks_of(F.col("fp"), radius), blocks_of(F.col("ifp"), radius))
+    near = agree & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    return seen.join(rare, ["m", "h"]).filter((F.col("n") < direct) | near).select("key", "start", "m", "item").distinct()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, percent: int = 80, radius: int = 20, block_shingles: int = 500_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, percent: int = 80, radius: int = 24, direct: int = 12, block_shingles: int = 500_000) -> DataFrame:
     """The leaks: key (row_key of the document), item_id, start (in words, from 0), similarity; one row for each document and item, the best."""
+    spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("item_id"), word_array(F.col(item_text)).alias("w")).withColumn("m", F.size("w")).filter("m > 0").withColumn("k", F.least("m", F.lit(words)))
-    items = items.withColumn("sh", shingle_hashes(F.col("w"), F.col("k")))
-    items = durable(items.select("item_id", "m", "k", "sh", simhash(F.col("sh")).alias("fp"), occurrences(F.col("sh")).alias("items")), "items")
+    items = items.withColumn("sh", shingle_hashes(F.col("w"), F.col("k"))).withColumn("item", F.monotonically_increasing_id())
+    items = durable(items.select("item", "item_id", "m", "k", "sh", F.size("sh").alias("n"), simhash(F.col("sh")).alias("fp"), occurrences(F.col("sh")).alias("items")), "items")
+    rare = durable(_rarest(items, percent), "rare")
     # Equal places of equal shingles in items of equal length are one row.
-    anchors = durable(items.select("m", "k", F.posexplode("sh").alias("at", "h")).distinct(), "anchors")
-    n, sizes = anchors.count(), [r[0] for r in anchors.select("k").distinct().collect()]  # five numbers at most
-    passes = max(1, math.ceil(n / block_shingles))
+    anchors = items.select("m", "k", F.posexplode("sh").alias("at", "h")).distinct()
+    anchors = durable(anchors.join(rare.select("m", "h", F.lit(True).alias("rare")).distinct(), ["m", "h"], "left").select("m", "k", "at", "h", F.coalesce("rare", F.lit(False)).alias("rare")), "anchors")
+    n, sizes = anchors.count(), sorted(r[0] for r in anchors.select("k").distinct().collect())  # at most five numbers
+    key = row_key(F.col(doc_id), F.col(text))
+    if not n:
+        return spark.createDataFrame([], T.StructType().add("key", docs.select(key.alias("key")).schema["key"].dataType).add("item_id", items.schema["item_id"].dataType).add("start", "integer").add("similarity", "double"))
+    passes = math.ceil(n / block_shingles)
+    # All lengths of shingles in one reading of the documents.
+    runs = F.concat(*[F.transform(fixed_hashes(F.col("w"), k), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for k in sizes])
+    runs = docs.select(key.alias("key"), word_array(F.col(text)).alias("w")).select("key", F.size("w").alias("words"), F.explode(runs).alias("r")).select("key", "words", "r.pos", "r.h")
+    if sizes == [words]:
+        runs = docs.select(key.alias("key"), word_array(F.col(text)).alias("w")).select("key", F.size("w").alias("words"), F.posexplode(fixed_hashes(F.col("w"), words)).alias("pos", "h"))
     found = []
     for p in range(passes):
         some = anchors if passes == 1 else anchors.filter(F.pmod(F.xxhash64("h"), F.lit(passes)) == p)
-        for k in sizes:
-            w = word_array(F.col(text))
-            runs = docs.select(row_key(doc_id, text).alias("key"), w.alias("w")).select("key", F.size("w").alias("n"), F.posexplode(fixed_hashes(F.col("w"), k)).alias("pos", "h"))
-            # Broadcast: at most block_shingles rows.
-            hits = runs.join(F.broadcast(some.filter(F.col("k") == k).select("h", "at", "m")), "h")
-            found.append(hits.select("key", "m", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m"))).alias("start")))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "key long, item_id long, start int, similarity double")
+        # Broadcast: about block_shingles rows.
+        hits = runs.join(F.broadcast(some.select("h", "at", "m", "rare")), "h")
+        found.append(hits.select("key", "m", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("words") - F.col("m"))).alias("start"), "rare"))
     laid = found[0]
     for f in found[1:]:
         laid = laid.unionByName(f)
-    laid = durable(laid.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "m")).alias("laid")), "windows")
-    texts = docs.select(row_key(doc_id, text).alias("key"), F.col(text).alias("t")).join(laid, "key").dropDuplicates(["key"])
+    # A length is of use in a document only where a rare shingle of some item of it stands.
+    laid = laid.groupBy("key", "m").agg(F.collect_set("start").alias("starts"), F.max("rare").alias("rare")).filter("rare")
+    laid = durable(laid.groupBy("key").agg(F.collect_list(F.struct("m", "starts")).alias("laid")), "windows")
+    texts = docs.select(key.alias("key"), F.col(text).alias("t")).join(laid, "key").dropDuplicates(["key"])
     # Windows are cut out before they become rows, so no row carries all the words of a long text.
-    cut = F.transform("laid", lambda x: F.struct(x.start.alias("start"), x.m.alias("m"), F.slice("w", x.start + 1, x.m).alias("w")))
+    cut = F.flatten(F.transform("laid", lambda x: F.transform(x.starts, lambda s: F.struct(s.alias("start"), x.m.alias("m"), F.slice("w", s + 1, x.m).alias("w")))))
     windows = texts.select("key", word_array(F.col("t")).alias("w"), "laid").select("key", F.explode(cut).alias("x")).select("key", "x.*")
     windows = windows.withColumn("sh", shingle_hashes(F.col("w"), F.least("m", F.lit(words)))).filter(F.size("sh") > 0)
-    windows = durable(windows.select("key", "start", "m", simhash(F.col("sh")).alias("fp"), occurrences(F.col("sh")).alias("seen")), "fingerprints")
-    left = windows.select("key", "start", "m", "fp", "seen", F.explode(blocks_of(F.col("fp"), radius)).alias("b")).select("key", "start", "m", "fp", "seen", F.col("b.block").alias("block"), F.col("b.bits").alias("bits"))
-    right = items.select("item_id", "m", F.col("fp").alias("ifp"), "items", F.explode(blocks_of(F.col("fp"), radius)).alias("b")).select("item_id", "m", "ifp", "items", F.col("b.block").alias("block"), F.col("b.bits").alias("bits"))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp")))
-    # A pair that agrees in several blocks is compared in the first of them alone.
-    width = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    differs = F.col("fp").bitwiseXOR(F.col("ifp"))
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(differs, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(width, width[1:], strict=False))])
-    pairs = left.join(right, ["m", "block", "bits"]).filter((distance <= radius) & (first == F.col("block")))
+    windows = durable(windows.select("key", "start", "m", "sh", simhash(F.col("sh")).alias("fp"), occurrences(F.col("sh")).alias("seen")), "fingerprints")
+    pairs = candidates(windows, rare, radius=radius, direct=direct).join(items.select("item", "item_id", "items"), "item").join(windows.select("key", "start", "m", "seen"), ["key", "start", "m"])
     shared, both = F.size(F.array_intersect("seen", "items")), F.size(F.array_union("seen", "items"))
     good = pairs.select("key", "item_id", "start", shared.alias("shared"), both.alias("both")).filter(100 * F.col("shared") >= percent * F.col("both"))
     good = good.withColumn("similarity", F.col("shared") / F.col("both"))
     best = good.groupBy("key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("b"))
-    return best.select("key", "item_id", F.col("b.start").alias("start"), (-F.col("b.s")).alias("similarity"))
+    out = durable(best.select("key", "item_id", F.col("b.start").alias("start"), (-F.col("b.s")).alias("similarity")), "leaks")
+    discard(items, rare, anchors, laid, windows)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs without a leak."""
-    leaks = durable(find_leaks(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("key").alias("_leak")).distinct(), "leaks")
-    keyed = docs.withColumn("_leak_key", row_key(doc_id, text))
-    return keyed.join(leaks, F.col("_leak_key") == F.col("_leak"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    leaks = durable(find_leaks(docs, benchmark, doc_id=doc_id, text=text, **options).select("key").distinct(), "leaks")
+    return docs.join(leaks, row_key(docs[doc_id], docs[text]) == leaks["key"], "left_anti")
 
 
 def op3_decontam(spark, sf_dir: str) -> DataFrame:
@@ -126,6 +167,5 @@ def op3_decontam(spark, sf_dir: str) -> DataFrame:
     leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     per_doc = leaks.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.min(F.struct((-F.col("similarity")).alias("s"), "item_id", "start")).alias("b"))
     per_doc = durable(per_doc.select("key", "n_items", F.col("b.item_id").alias("item_id"), (-F.col("b.s")).alias("similarity"), F.col("b.start").cast("long").alias("first_word")), "leaks")
-    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("_key"))
-    joined = keyed.join(per_doc, F.col("_key") == F.col("key"), "left")
+    joined = docs.join(per_doc, row_key(docs["doc_id"], docs["text"]) == per_doc["key"], "left")
     return joined.select("doc_id", F.col("key").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", "similarity", "first_word")
