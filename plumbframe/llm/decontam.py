@@ -169,3 +169,28 @@ def op3_decontam(spark, sf_dir: str) -> DataFrame:
     per_doc = durable(per_doc.select("key", "n_items", F.col("b.item_id").alias("item_id"), (-F.col("b.s")).alias("similarity"), F.col("b.start").cast("long").alias("first_word")), "leaks")
     joined = docs.join(per_doc, row_key(docs["doc_id"], docs["text"]) == per_doc["key"], "left")
     return joined.select("doc_id", F.col("key").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", "similarity", "first_word")
+
+
+#: All windows of a document and item that share any shingle, without fingerprints, buckets or aligned places.
+ORACLE = r"""
+WITH i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+it AS (SELECT *, len(w) AS m, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+ish AS (SELECT item, item_id, m, k, list_transform(range(1, m - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' ')) AS sh FROM it),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ks AS (SELECT DISTINCT k FROM it),
+dsh AS (SELECT r, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS x FROM d, ks),
+ix AS (SELECT item, k, unnest(sh) AS x FROM ish),
+hit AS (SELECT DISTINCT dsh.r, ix.item FROM dsh JOIN ix ON dsh.k = ix.k AND dsh.x = ix.x),
+win AS (SELECT h.r, h.item, item_id, m, k, unnest(range(0, greatest(1, len(d.w) - m + 1))) AS start FROM hit h JOIN ish USING (item) JOIN d USING (r)),
+wsh AS (SELECT win.*, unnest(list_transform(range(1, least(m, len(d.w) - start) - k + 2), lambda p: array_to_string(d.w[start + p:start + p + k - 1], ' '))) AS x FROM win JOIN d USING (r)),
+wc AS (SELECT r, item, item_id, start, x, count(*) AS n FROM wsh GROUP BY ALL),
+ic AS (SELECT item, x, count(*) AS n FROM ix GROUP BY ALL),
+sums AS (SELECT r, item, item_id, start, sum(n) AS size FROM wc GROUP BY ALL),
+overlap AS (SELECT wc.r, wc.item, wc.start, sum(least(wc.n, ic.n)) AS shared FROM wc JOIN ic USING (item, x) GROUP BY ALL),
+sim AS (SELECT s.r, s.item_id, s.start, b.shared::DOUBLE / (s.size + len(ish.sh) - b.shared) AS similarity FROM sums s JOIN overlap b USING (r, item, start) JOIN ish USING (item)
+        WHERE 100 * b.shared >= 80 * (s.size + len(ish.sh) - b.shared)),
+best AS (SELECT r, item_id, min(struct_pack(s := -similarity, start := start)) AS b FROM sim GROUP BY r, item_id),
+per AS (SELECT r, count(*)::BIGINT AS n_items, min(struct_pack(s := b.s, item_id := item_id, start := b.start)) AS b FROM best GROUP BY r)
+SELECT d.doc_id, p.r IS NOT NULL AS contaminated, coalesce(p.n_items, 0)::BIGINT AS n_items, p.b.item_id AS item_id, -p.b.s AS similarity, p.b.start::BIGINT AS first_word
+FROM d LEFT JOIN per p USING (r)
+"""

@@ -21,7 +21,9 @@ QUERIES = {name: configured(query) for name, query in QUERIES.items()}
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
+    "op3_decontam": decontam.ORACLE,
     "op4_warc": warc.ORACLE,
     "op6_topk": topk.ORACLE,
+    "op8_jaccard": jaccard.ORACLE,
     "op10_licenses": licenses.oracle(),
 }
