@@ -103,6 +103,14 @@ def configured(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def unused(columns: Sequence[str], name: str) -> str:
+    """name, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as SPACED_WORD has them; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")

@@ -22,14 +22,13 @@ dropped; other columns pass, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbframe.llm.common import discard, durable, table
-from plumbframe.llm.licenses import GAP
+from plumbframe.llm.licenses import GAP, let
 
 BITS = 64
 
@@ -60,11 +59,6 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.transform(ones, lambda n, b: F.when(n > half, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def occurrences(hashes: Column) -> Column:
     """Each hash together with how many times it came before: sets of these are the multisets of the hashes. One sort, else linear."""
 
