@@ -85,6 +85,26 @@ def test_token_counts(spark, tables):
     assert bpe.op5_bpe_counts(spark, tables(documents=[])).collect() == []
 
 
+def test_every_code_point_counts_as_in_the_library():
+    """Between letters, numbers and signs, where merges tell classes apart; above the second plane every 61st."""
+    P = pytest.importorskip("public_tokenizers")
+    reference = pytest.importorskip("tokenizers").Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    count = bpe.counter(bpe.Merges.read(P.path("word_bpe_49k.json")))
+    some = [chr(c) for c in [*range(1, 0x20000), *range(0x20000, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}a1{c}!{c}\u0301\u0316 " for c in some[i : i + 64]) for i in range(0, len(some), 64)]
+    for i, (t, e) in enumerate(zip(texts, reference.encode_batch(texts, add_special_tokens=False), strict=True)):
+        assert count(t) == len(e.ids), [hex(ord(c)) for c in some[64 * i : 64 * i + 64] if count(c2 := f"a{c}a1{c}!{c}\u0301\u0316 ") != len(reference.encode(c2, add_special_tokens=False).ids)]
+    rnd = random.Random(6)
+    mixed = ["".join(rnd.choice(some) for _ in range(30)) for _ in range(4000)]
+    assert [count(t) for t in mixed] == [len(e.ids) for e in reference.encode_batch(mixed, add_special_tokens=False)]
+
+
+def test_other_tokenizer_files_are_refused():
+    P = pytest.importorskip("public_tokenizers")
+    with pytest.raises(ValueError, match="no byte-level BPE"):
+        bpe.Merges.read(P.path("byte_bpe_50k.json"))
+
+
 def test_merging_takes_the_lowest_rank_first():
     ranks = {("a", "b"): 1, ("b", "c"): 0, ("a", "bc"): 2, ("bc", "bc"): 3}
 
