@@ -1,12 +1,13 @@
-"""Secret scans: long runs of key-like characters, judged by a random forest.
+"""Secret scans: key-like strings of several kinds, judged by a random forest.
 
-Candidates are runs of at least min_length key characters with a digit, and what is quoted or assigned after a secret word, whatever
-its length and characters; both are found on the bytes of whole texts. An = with a key character behind it ends a run, so a name isn't
-part of its value. Most candidates are no secrets: checksums, commit ids, placeholders. A random forest (numpy, grown here) tells them apart by length, character transitions, dictionary
-coverage, the path and the neighbouring words. It learns from labelled findings; example_findings makes a seeded set of them, for tables
-that bring none.
+Candidates are runs of at least MIN_LENGTH key characters that hold a digit or a capital after a small letter, or are LONG; what is quoted or assigned
+after a secret word, whatever its length and characters; passwords inside URLs; and PEM blocks. All are found on the bytes of whole texts. An = with a key
+character behind it ends a run, so a name isn't part of its value. Most candidates are no secrets: checksums, commit ids, placeholders. A random forest
+(numpy, grown here) tells them apart by length, character transitions, dictionary coverage, the path (of the row, else the last one named
+nearby) and the four words on either side. It learns from labelled findings; example_findings makes a seeded set of them, for tables that bring none.
 
-Edge cases: null and empty texts have no candidates; a null path counts as empty; repeated rows are scanned each; extra columns pass.
+Edge cases: null and empty texts have no candidates; a null path counts as empty; a very long text is scanned whole, in pieces of whole rows, and a very long candidate
+is judged whole; repeated rows are scanned each; other columns pass (a column of the name of an added one must not be kept); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ from pyspark.sql import types as T
 from plumbframe.llm import hashing
 from plumbframe.llm.common import table
 
-MIN_LENGTH = 16
-CONTEXT = 48
+MIN_LENGTH = 12
+LONG = 24
+WORDS_NEAR = 4
 REDACTED = b"[REDACTED]"
 FINDINGS = T.ArrayType(T.StructType().add("start", "long").add("stop", "long").add("score", "double").add("secret", "boolean"))
 
 KEY_BYTES = np.zeros(256, dtype=bool)
 KEY_BYTES[[ord(c) for c in string.ascii_letters + string.digits + "+/=_-."]] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
+_DIGIT, _SMALL, _CAPITAL = (np.isin(np.arange(256), np.arange(a, a + n)) for a, n in ((48, 10), (97, 26), (65, 26)))
 
 # Words near secrets, words near what only looks like one, and common words inside identifiers.
 SECRET_WORDS = "token secret key apikey api_key password passwd passphrase pwd auth bearer credential credentials private access aws client_secret authorization".split()
@@ -52,8 +53,14 @@ _ASSIGNED = re.compile(
     rb"""|[(,]?[ \t]*(?=(?:"(?P<e>(?:[^"\\\r\n]|\\.)+)"|'(?P<f>(?:[^'\\\r\n]|\\.)+)'|`(?P<g>[^`\r\n]+)`)))"""
 )
 _NEAR = re.compile(r"[A-Za-z0-9_]+")
+_NEAR_BYTES = re.compile(rb"[A-Za-z0-9_]+")
+_URL_PASSWORD = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]*:([^\s/@]+)@")
+_PEM = re.compile(rb"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.S)
+_PATH = re.compile(r"[\w./-]*(?:/[\w.-]+|\w\.(?:py|js|ts|go|rs|java|rb|php|sh|yml|yaml|json|toml|ini|cfg|conf|env|pem|key|md|txt|lock|sum|xml|properties))\b|\.env\b")
+# How keys of well-known services begin.
+_KNOWN = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|whsec_|sk-|AIza|npm_|pypi-|SG\.|eyJ|dop_v1_|shpat_)")
 
-FEATURES = ["length", "entropy", "distinct", "digits", "upper", "lower", "other", "hex", "turns", "likelihood", "dictionary", "longest_run", "assigned", "quoted", "secret_before", "benign_before", "secret_after", "benign_after", "test_path", "key_path", "password_before", "spaces", "odd"]
+FEATURES = ["length", "entropy", "distinct", "digits", "upper", "lower", "other", "hex", "turns", "likelihood", "dictionary", "longest_run", "assigned", "quoted", "secret_before", "benign_before", "secret_after", "benign_after", "test_path", "key_path", "password_before", "spaces", "odd", "known", "private", "in_url", "braces"]
 
 
 def transition_table() -> np.ndarray:
@@ -82,8 +89,9 @@ def features(candidate: str, before: str = "", after: str = "", path: str = "")
     for a, b in zip(candidate, candidate[1:], strict=False):
         run = run + 1 if a == b else 1
         longest = max(longest, run)
-    near = [w.lower() for w in _NEAR.findall(before)][-4:]
-    then = [w.lower() for w in _NEAR.findall(after)][:4]
+    near = [w.lower() for w in _NEAR.findall(before)][-WORDS_NEAR:]
+    then = [w.lower() for w in _NEAR.findall(after)][:WORDS_NEAR]
+    path = path or next(reversed(_PATH.findall(before)), "")
     has = lambda words, known: float(any(w in known or any(p in known for p in w.split("_")) for w in words))
     gap = before.rstrip()
     return [
@@ -105,82 +113,101 @@ def features(candidate: str, before: str = "", after: str = "", path: str = "")
         has(near, BENIGN_WORDS),
         has(then, SECRET_WORDS),
         has(then, BENIGN_WORDS),
-        float(bool(TEST_PATH.search(path or ""))),
-        float(bool(KEY_PATH.search(path or ""))),
+        float(bool(TEST_PATH.search(path))),
+        float(bool(KEY_PATH.search(path))),
         float(any("pass" in w or "pwd" in w or "secret" in w for w in near[-1:])),
         candidate.count(" ") / n,
         sum(c in "!@#%^&*?~" for c in candidate) / n,
+        float(bool(_KNOWN.match(candidate))),
+        float(candidate.startswith("-----BEGIN") and "PRIVATE KEY" in candidate[:60]),
+        float(bool(re.search(r"://[^\s:/@]*:$", before))),
+        sum(c in "{}<>()$[]" for c in candidate) / n,
     ]
 
 
-def example_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """(candidate, before, after, path, label) of n findings: half of them secrets as they stand in files and prose, half look-alikes."""
+def example_findings(n: int = 6000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
+    """(candidate, before, after, path, label) of n findings in seeded random order of kinds: about half secrets as they stand in configuration, code, logs
+    and prose, half what only looks like one or stands in its place."""
     rnd = random.Random(seed)
     some = lambda letters, k: "".join(rnd.choice(letters) for _ in range(k))
-    hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
-    prose = lambda: " ".join(some("aeiounrtshld", rnd.randint(2, 9)) for _ in range(rnd.randint(0, 4)))
-    case = lambda s: s.upper() if rnd.random() < 0.15 else s
-    paths = ["", "", "", "src0", "web", "src/app.py", "config/settings.py", ".env", "deploy/prod.yml", "README", "tests/test_auth.py"]
+    hexes, alnum, capitals, signs = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "!@#$%^&*?~+-_=.:"
+    pick, between = rnd.choice, rnd.randint
+    syllables = lambda k: "".join(some("bcdfghjklmnprstvwz", 1) + some("aeiou", 1) + pick(["", "", "n", "r", "s"]) for _ in range(k))
+    # Half the words are of the dictionary, half of no language: what stands around a finding must not be known by heart.
+    word = lambda: pick(DICTIONARY) if rnd.random() < 0.5 else syllables(between(1, 3))
+    prose = lambda: " ".join(word() for _ in range(between(0, 6)))
+    case = lambda w: pick([w, w, w, w.upper(), w.capitalize()])
+    hexkey = lambda *k: pick([str.lower, str.lower, str.upper])(some(hexes, pick(k)))
+    b64 = lambda k: base64.b64encode(rnd.randbytes(k)).decode()
+    uuid = lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12))
+    camel = lambda: syllables(2) + "".join(pick(DICTIONARY).capitalize() for _ in range(between(1, 4)))
+    named = lambda: pick([case(pick(SECRET_WORDS)), f"{pick(DICTIONARY)}_{pick(SECRET_WORDS)}", f"{pick(DICTIONARY).upper()}_{pick(SECRET_WORDS).upper()}", f"x-{pick(DICTIONARY)}-{pick(SECRET_WORDS)}"])
+    password = lambda: pick(["password", "passwd", "pwd", "passphrase", "secret", "db_password", "client_secret", "PASSWORD", "Password"])
+    sign = lambda: pick([" = ", "=", ": ", ":", " := ", " is ", " => "])
+    quotes = lambda: pick(["", '"', "'", '"', "`"])
+    pem = lambda kind, k: f"-----BEGIN {kind}-----\n" + "\n".join(b64(48) for _ in range(k)) + f"\n-----END {kind}-----"
+    services = [lambda: pick(["AKIA", "ASIA"]) + some(capitals, 16), lambda: pick(["ghp_", "gho_", "ghs_"]) + some(alnum, 36), lambda: "github_pat_" + some(alnum, 22) + "_" + some(alnum, 59), lambda: "glpat-" + some(alnum + "-_", 20), lambda: f"xox{pick('bpa')}-{some(string.digits, 11)}-{some(alnum, 24)}", lambda: pick(["sk_live_", "rk_live_"]) + some(alnum, 24), lambda: "whsec_" + some(alnum, 32), lambda: "sk-" + some(alnum, 48), lambda: "AIza" + some(alnum + "-_", 35), lambda: "npm_" + some(alnum, 36), lambda: "SG." + some(alnum, 22) + "." + some(alnum, 43), lambda: f"eyJ{b64(24).rstrip('=')}.eyJ{b64(45).rstrip('=')}.{some(alnum + '-_', 43)}", lambda: "shpat_" + some(hexes, 32)]
+    strings = [lambda: hexkey(32, 40, 48, 64), lambda: some(alnum, between(16, 64)), lambda: some(alnum + "+/", 40), lambda: b64(between(12, 64)), lambda: some(alnum + "-_", between(20, 44)), lambda: some(string.ascii_letters, between(16, 40)), uuid]
+    short = [lambda: some(alnum + "!@#$%&*?", between(8, 20)), lambda: syllables(3).capitalize() + some(string.digits, between(2, 4)) + some("!@#$%&*?", between(0, 2)), lambda: some(alnum + signs, between(8, 24)), lambda: some(string.ascii_letters, between(10, 15)), lambda: some(alnum, between(8, 15)), lambda: syllables(2).replace("a", "4").replace("e", "3").replace("o", "0") + some("&!#", 1) + some(alnum, between(1, 4))]
+    phrase = lambda: pick([" ", "-"]).join(syllables(2) for _ in range(between(4, 7)))
+    stands_in = ["changeme", "change_me", "<password>", "${TOKEN}", "$PASSWORD", "%s", "{}", "{{ password }}", "None", "null", "true", "false", "str", "string", "required", "your_password_here", "your-api-key", "YOUR_API_KEY", "xxxxxxxx", "********", "...", "REDACTED", "[REDACTED]", "<your-key>", "<token>", "yes", "no", "optional", "process.env.API_KEY", "TODO", "n/a"]
+
+    def secret() -> tuple[str, str, str]:
+        kind = rnd.randrange(9)
+        quote = quotes()
+        if kind == 0:
+            return pick(services)(), pick([f"{named()}{sign()}{quote}", f"{prose()} ", f"{prose()} {quote}", "Authorization: Bearer "]), quote
+        if kind in (1, 2, 3):
+            return pick(strings)(), f"{named()}{sign()}{quote}", quote
+        if kind in (4, 5):
+            return pick(short)(), f"{password()}{sign()}{quote}", quote
+        if kind == 6:
+            quote = pick(['"', "'"])
+            return phrase(), f"{password()}{sign()}{quote}", quote
+        if kind == 7:
+            return pick([*short, *strings])().replace("@", "").replace("/", "").replace(":", ""), f"{pick(['postgres', 'mysql', 'mongodb', 'redis', 'amqp', 'https'])}://{pick(DICTIONARY)}:", f"@{syllables(2)}.{pick(['com', 'net', 'local'])}"
+        return pem(pick(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"]), between(3, 20)), pick(["", f"{prose()}: ", "key: |\n"]), "\n"
+
+    def other() -> tuple[str, str, str]:
+        kind = rnd.randrange(16)
+        quote = quotes()
+        benign = f"{case(pick(BENIGN_WORDS))}{pick([' ', ': ', '=', ' = '])}{quote}"
+        if kind in (0, 1):
+            return hexkey(32, 40, 40, 64), pick([benign, f"{prose()} ", f"{prose()} ("]), quote
+        if kind == 2:
+            return uuid(), pick([benign, f"{prose()} id {quote}", f"{prose()} "]), quote
+        if kind == 3:
+            return "_".join([*rnd.sample(DICTIONARY, between(3, 5)), str(between(1, 99))]), pick([f"{named()}{sign()}{quote}", benign, f"{prose()} "]), quote
+        if kind == 4:
+            return pick(["x0X*1a", "xX*", "a1"])[0] * between(8, 40) + pick(["", "0"]), f"{named()}{sign()}{quote}", quote
+        if kind == 5:
+            return pick(["/", "."]).join([*rnd.sample(DICTIONARY, between(3, 6)), some(string.digits, 4)]), f"{pick(['see', 'at', 'www', 'in', 'from', 'import'])} ", ""
+        if kind == 6:
+            return some(string.digits, between(12, 24)), f"{prose()} {pick(['id', 'order', 'number', 'ref', 'call', 'phone', 'account'])} ", ""
+        if kind == 7:
+            return "-".join(syllables(between(1, 3)) for _ in range(between(3, 5))) + pick(["", f"-{between(1, 2030)}"]), f"{prose()} ", ""
+        if kind == 8:
+            return camel(), pick([f"{prose()} ", "return ", "import ", f"{named()}{sign()}"]), pick(["", "()", ";"])
+        if kind == 9:
+            return pick(["sha256-", "sha384-", "sha512-"]) + b64(pick([32, 48, 64])), f"integrity={quote}", quote
+        if kind == 10:
+            return pick(["base64,", "", "png;base64,"]) + b64(between(20, 200)), f"{prose()} data:image/", ""
+        if kind == 11:
+            return pick([f"{between(1990, 2030)}-0{between(1, 9)}-{between(10, 28)}T{between(10, 23)}:{between(10, 59)}:{between(10, 59)}Z", f"{syllables(2)}-{between(1, 9)}.{between(0, 20)}.{between(0, 9)}-{pick(['beta', 'linux', 'py3'])}", f"{syllables(3)}{between(10, 99)}.{pick(DICTIONARY)}.com", f"{syllables(2)}.{syllables(2)}{between(1, 99)}"]), f"{prose()} {pick(['', 'at ', 'version ', 'from ', 'mail '])}", ""
+        if kind == 12:
+            return pick(stands_in), f"{pick([named, password])()}{sign()}{quote}", quote
+        if kind == 13:
+            return pick(["os.environ", "config.", "self.", "get_", "settings.", "request.", "process.env."]) + pick(DICTIONARY) + pick(["", "()", "[0]", "_name", "(user)"]), f"{pick([named, password])()}{sign()}", pick(["", ";", ","])
+        if kind == 14:
+            return pick([pick(DICTIONARY), syllables(between(1, 3)), " ".join(rnd.sample(DICTIONARY, between(2, 5)))]), f"{pick([*SECRET_WORDS, 'key', 'access'])}{pick([': ', ' = ', ' is ', ' '])}{quote}", quote
+        return pem(pick(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST"]), between(3, 20)), pick(["", f"{prose()}: "]), "\n"
+
+    paths = ["", "", "", "", "src/app.py", "config/settings.py", ".env", "deploy/prod.yml", "README.md", "tests/test_auth.py", "lib/http/client.go"]
     out = []
     for i in range(n):
-        if i % 2 == 0:
-            c = rnd.choice([lambda: case(some(hexes, rnd.choice([32, 40, 40, 48, 64]))), lambda: some(alnum, rnd.randint(20, 48)), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36), lambda: "sk_live_" + some(alnum, 24), lambda: some(alnum + "+/", 40), lambda: "xoxb-" + some(string.digits, 11) + "-" + some(alnum, 24), lambda: base64.b64encode(rnd.randbytes(30)).decode()])()
-            name = rnd.choice(SECRET_WORDS)
-            sign = rnd.choice([" = ", "=", ": ", ' = "', '="', ': "', " = '"])
-            before, after, label = f"{prose()} {case(name)}{sign}", f'{rnd.choice([chr(34), "", chr(39)])} {prose()}', 1
-            path = rnd.choice(paths)
-            if c.startswith(("AKIA", "ghp_", "sk_live_", "xoxb-")) and rnd.random() < 0.5:
-                before = f"{prose()} "  # such keys need no name beside them
-        else:
-            kind = rnd.randrange(7)
-            name, sign = rnd.choice(BENIGN_WORDS), rnd.choice([" ", ": ", "=", ' = "'])
-            c = case(some(hexes, rnd.choice([32, 40, 64])))
-            if kind == 1:
-                c = "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12))
-            elif kind == 2:
-                c, name, sign = "_".join([*rnd.sample(DICTIONARY, rnd.randint(3, 5)), str(rnd.randint(1, 99))]), rnd.choice(SECRET_WORDS + BENIGN_WORDS), " = "
-            elif kind == 3:
-                c, name, sign = rnd.choice("x0X*1a") * rnd.randint(16, 40) + "0", rnd.choice(SECRET_WORDS), ' = "'
-            elif kind == 4:
-                c, name, sign = "/".join([*rnd.sample(DICTIONARY, rnd.randint(3, 6)), some(string.digits, 4)]), rnd.choice(["see", "at", "www", "in"]), " "
-            elif kind == 5:
-                c, name, sign = some(string.digits, rnd.randint(16, 24)), rnd.choice(["id", "order", "number", "ref", "call"]), " "
-            elif kind == 6:
-                c, name, sign = "-".join(some("aeiounrtshld", rnd.randint(3, 9)) for _ in range(4)) + "-" + str(rnd.randint(1, 2030)), "", ""
-            before, after, label = f"{prose()} {name}{sign}", f" {prose()}", 0
-            path = rnd.choice([*paths, "package.lock", "go.sum", "tests/fixtures.json"])
-        out.append((c, before, after, path, label))
-    # Values beside a secret word: short passwords, odd characters, letters alone and passphrases, and what only stands in their place.
-    syllables = lambda: "".join(some("bcdfghklmnprstvw", 1) + some("aeiou", 1) for _ in range(rnd.randint(2, 4)))
-    for i in range(n // 3):
-        quote = rnd.choice(["", '"', "'", '"'])
-        sign = rnd.choice([" = ", "=", ": ", ":"])
-        if i % 2 == 0:
-            name = rnd.choice(["password", "passwd", "pwd", "passphrase", "secret", "db_password", "client_secret", "PASSWORD"])
-            kind = rnd.randrange(4)
-            if kind == 0:
-                c = some(alnum + "!@#$%&*?", rnd.randint(8, 20))
-            elif kind == 1:
-                c = syllables().capitalize() + some(string.digits, rnd.randint(2, 4)) + some("!@#$%&*?", rnd.randint(0, 2))
-            elif kind == 2:
-                c, name = some(string.ascii_letters, rnd.randint(16, 40)), rnd.choice([name, "token", "api_key", "secret_key"])
-            else:
-                c, quote = rnd.choice([" ", "-"]).join(syllables() for _ in range(rnd.randint(4, 6))), '"'
-        else:
-            name = rnd.choice([*SECRET_WORDS, "access", "authorization", "password", "key"])
-            kind = rnd.randrange(5)
-            if kind == 0:
-                c = rnd.choice(["changeme", "<password>", "${TOKEN}", "$PASSWORD", "%s", "{}", "None", "null", "true", "false", "str", "string", "required", "your_password_here", "xxxxxxxx", "********", "...", "REDACTED", "[REDACTED]", "<your-key>", "yes", "no"])
-            elif kind == 1:
-                c, quote = rnd.choice(["os.environ", "config.", "self.", "get_", "settings.", "request."]) + rnd.choice(DICTIONARY) + rnd.choice(["", "()", "[0]", "_name", "(user)"]), ""
-            elif kind == 2:
-                c = rnd.choice(DICTIONARY)
-            elif kind == 3:
-                c, name = " ".join(rnd.sample(DICTIONARY, rnd.randint(2, 5))), rnd.choice([name, "key", "access"])
-            else:
-                c, quote = some("aeiounrtshld", rnd.randint(2, 9)), ""
-                name = rnd.choice(["key", "access", "private", "auth", "token"])
-        out.append((c, f"{prose()} {case(name)}{sign}{quote}", f"{quote} {prose()}", rnd.choice(paths), 1 - i % 2))
+        c, before, after = secret() if i % 2 == 0 else other()
+        path = pick(paths) if i % 2 == 0 else pick([*paths, "package.lock", "go.sum", "tests/fixtures.json"])
+        out.append((c, f"{prose()} {before}", f"{after}{pick([' ', '. ', ', ', chr(10)])}{prose()}", path, 1 - i % 2))
     return out
 
 
@@ -252,7 +279,7 @@ def train_forest(findings: list[tuple[str, str, str, str, int]] | None = None) -
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the runs of key characters with a digit, in the bytes of a chunk."""
+    """(row, start, end) of the telling runs of key characters, in the bytes of a chunk."""
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
     inside[1:-1] = KEY_BYTES[data]
@@ -271,8 +298,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENG
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     long = end - start >= min_length
     start, end = start[long], end[long]
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    some = digits[end] > digits[start]
+    # Digits, and capitals right after small letters, from the second byte of the run on.
+    before = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+    digits, turns = before(_DIGIT[data]), before(np.concatenate(([False], _SMALL[data[:-1]] & _CAPITAL[data[1:]])) if n else np.zeros(0, bool))
+    some = (digits[end] > digits[start]) | (turns[end] > turns[start + 1]) | (end - start >= LONG)
     start, end = start[some], end[some]
     return np.searchsorted(offsets, start, "right") - 1, start, end
 
@@ -287,6 +316,26 @@ def assigned(raw: bytes, start: int, stop: int) -> Iterator[tuple[int, int]]:
             yield s, e
 
 
+def others(raw: bytes, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of passwords in URLs and of PEM blocks between start and stop."""
+    if raw.find(b"://", start, stop) >= 0:
+        yield from (m.span(1) for m in _URL_PASSWORD.finditer(raw, start, stop))
+    if raw.find(b"-----BEGIN ", start, stop) >= 0:
+        yield from (m.span() for m in _PEM.finditer(raw, start, stop))
+
+
+def neighbours(raw: bytes, low: int, start: int, end: int, high: int) -> tuple[str, str]:
+    """The texts on either side of a candidate that hold WORDS_NEAR whole words, or all there is between low and high."""
+    size = 48
+    while True:
+        a, b = max(low, start - size), min(high, end + size)
+        before, after = raw[a:start], raw[end:b]
+        enough = lambda side, whole: whole or len(_NEAR_BYTES.findall(side)) > WORDS_NEAR
+        if enough(before, a == low) and enough(after, b == high):
+            return before.decode("utf-8", "ignore"), after.decode("utf-8", "ignore")
+        size *= 4
+
+
 def _judged(batch: pa.RecordBatch, text: str, path: str | None, forest: Forest, threshold: float = 0.5) -> Iterator[tuple[bytes, list[tuple[int, int, float]]]]:
     """Of each row: its bytes (of rows with candidates) and (start, stop, score) of the candidates, in bytes."""
     paths = batch.column(path).to_pylist() if path else None
@@ -302,10 +351,10 @@ def _judged(batch: pa.RecordBatch, text: str, path: str | None, forest: Forest,
             if e - s >= MIN_LENGTH:
                 spans.add((r, s, e))
         for r in range(rows):
-            spans |= {(r, s, e) for s, e in assigned(raw, int(offsets[r]), int(offsets[r + 1]))}
+            a, b = int(offsets[r]), int(offsets[r + 1])
+            spans |= {(r, s, e) for find in (assigned, others) for s, e in find(raw, a, b)}
         for r, s, e in sorted(spans):
-            lo, hi = max(int(offsets[r]), s - CONTEXT), min(int(offsets[r + 1]), e + CONTEXT)
-            x.append(features(raw[s:e].decode("utf-8", "replace"), raw[lo:s].decode("utf-8", "ignore"), raw[e:hi].decode("utf-8", "ignore"), (paths[at + r] or "") if paths else ""))
+            x.append(features(raw[s:e].decode("utf-8", "replace"), *neighbours(raw, int(offsets[r]), s, e, int(offsets[r + 1])), (paths[at + r] or "") if paths else ""))
             where.append((r, s - int(offsets[r]), e - int(offsets[r])))
         if x:
             for (r, s, e), score in zip(where, forest.scores(np.array(x)).tolist(), strict=True):
