@@ -62,7 +62,8 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def _delete(path: str) -> None:
+def remove(path: str) -> None:
+    """Delete what was written to a path of fresh_path."""
     spark = _written.pop(path, None)
     with contextlib.suppress(Exception):  # a folder left behind costs space, not results
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,14 +76,14 @@ def _delete(path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of durable that nothing reads any more."""
     for t in tables:
-        _delete(t._plumbframe_path)
+        remove(t._plumbframe_path)
 
 
 @atexit.register
 def clean() -> None:
     """Delete all that was written into the shared folder and not discarded. Results that still read from it end here too."""
     for path in list(_written):
-        _delete(path)
+        remove(path)
 
 
 def configure(spark: SparkSession) -> None:

@@ -6,8 +6,8 @@ rate = target / source size. All of it is DataFrame code: the documents are only
 partial sum for each source and task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; a null id is replaced by the text
-in the seed; equal ids share one decision, so repeated rows are all taken as often; an empty table gives an empty result.
-Columns of the input beside those named keep their place and never clash, as the added ones are renamed on request.
+in the seed; equal ids share one decision, so repeated rows are all taken as often; a very long text is counted whole; an empty table gives an empty result.
+Other columns of the input keep their place; one of the name of an added column is an error, as prefix can rename those.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbframe.llm.common import durable, hash_unit, running_totals, table, word_count
+from plumbframe.llm.common import durable, hash_unit, running_totals, table, unused, word_count
 
 SEED = "plumbframe-mix-1"
 
+#: Names of the added columns, after the prefix.
+ADDED = ("size", "source_size", "target", "copies", "copy")
+
 
 def source_targets(docs: DataFrame, *, size: Column, source: str = "source", weights: Sequence[int] = (3, 1, 2), budget: float = 1.5, max_repeats: int = 2) -> DataFrame:
     """One row for each source: source, source_size, target.
@@ -43,16 +46,20 @@ def source_targets(docs: DataFrame, *, size: Column, source: str = "source", wei
 
 def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = (3, 1, 2), budget: float = 1.5, max_repeats: int = 2, seed: str = SEED, prefix: str = "") -> DataFrame:
     """docs with <prefix>size, <prefix>source_size, <prefix>target and <prefix>copies (0 or more)."""
+    clash = {f"{prefix}{n}" for n in ADDED} & set(docs.columns)
+    if clash:
+        raise ValueError(f"there are columns {', '.join(sorted(clash))} already; name another prefix")
     targets = source_targets(docs, size=word_count(F.col(text)), source=source, weights=weights, budget=budget, max_repeats=max_repeats)
-    targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"))
+    name, of_source, goal = (unused(docs.columns, c) for c in ("_mix_source", "_mix_size", "_mix_target"))
+    targets = targets.select(F.col("source").alias(name), F.col("source_size").alias(of_source), F.col("target").alias(goal))
     # Written out, so that its size is known when the join is planned: below the broadcast threshold the sources are broadcast and the
     # texts stay where they are; beyond it both sides are shuffled and adaptive execution splits a hot source.
     targets = durable(targets, "targets")
-    joined = docs.join(targets, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
-    rate = F.when(F.col("_mix_size") > 0, F.col("_mix_target") / F.col("_mix_size")).otherwise(F.lit(0.0))
+    joined = docs.join(targets, F.col(source).eqNullSafe(F.col(name)), "left")
+    rate = F.when(F.col(of_source) > 0, F.col(goal) / F.col(of_source)).otherwise(F.lit(0.0))
     coin = hash_unit(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.col(text)))
     copies = F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], word_count(F.col(text)).alias(f"{prefix}size"), F.col("_mix_size").alias(f"{prefix}source_size"), F.col("_mix_target").alias(f"{prefix}target"), copies.cast("long").alias(f"{prefix}copies"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], word_count(F.col(text)).alias(f"{prefix}size"), F.col(of_source).alias(f"{prefix}source_size"), F.col(goal).alias(f"{prefix}target"), copies.cast("long").alias(f"{prefix}copies"))
 
 
 def emit(mixed: DataFrame, *, prefix: str = "") -> DataFrame:

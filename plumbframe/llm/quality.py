@@ -7,9 +7,9 @@ cut into ranges, and the ranges of the metadata columns given. Ranges are quanti
 Training rows are a bounded sample of the labelled ones (max_rows, by smallest hash of the id, as many of the rarer label as
 half); their inputs are computed on the executors and collected. Scores cover every row and whole texts.
 
-Edge cases: null and empty texts are scored from their statistics (all 0); null metadata has a range of its own; labels without text
+Edge cases: null and empty texts are scored from their statistics (all 0); a very long text is scored whole; null metadata has a range of its own; labels without text
 are ignored; with one label only, or none, every score is the share of label 1 (0.5 without labels); repeated rows
-are scored each; extra columns pass.
+are scored each; an empty table gives an empty result; other columns pass, but one of the name of the score is an error: name another.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import sampled_ids, table
+from plumbframe.llm.common import sampled_ids, table, unused
 from plumbframe.llm.toxicity import held_out
 
 WORD_BUCKETS = 1 << 14
@@ -110,11 +110,8 @@ def machine(w0: float, w: np.ndarray, v: np.ndarray, i: np.ndarray, x: np.ndarra
     return w0 + linear + 0.5 * ((s * s).sum(axis=1) - squares), s
 
 
-def train_machine(numbers: np.ndarray, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, factors: int = 6, epochs: int | None = None, batch: int | None = None, rate: float = 0.03, l2: float = 1e-4, meta: tuple[str, ...] = (), seed: int = 7) -> FactorisationMachine:
-    """Adagrad on the logistic loss, over small batches in a fixed random order; by default 12 to 60 epochs
-    of batches of 16 to 256 rows, more and smaller ones for few rows."""
-    epochs = epochs or int(np.clip(60_000 // max(len(label), 1), 12, 60))
-    batch = batch or int(np.clip(len(label) // 20, 16, 256))
+def train_machine(numbers: np.ndarray, texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray, *, factors: int = 6, steps: int = 1000, batch: int = 64, rate: float = 0.03, l2: float = 1e-4, meta: tuple[str, ...] = (), seed: int = 7) -> FactorisationMachine:
+    """Adagrad on the logistic loss: as many steps for any number of rows, each over a batch of them, in fixed random orders one after the other."""
     rng = np.random.default_rng(seed)
     filled = [np.sort(c[~np.isnan(c)]) for c in numbers.T]
     cuts = np.stack([np.quantile(c, np.arange(1, RANGES) / RANGES) if len(c) else np.zeros(RANGES - 1) for c in filled])
@@ -126,8 +123,10 @@ def train_machine(numbers: np.ndarray, texts: list[np.ndarray], label: np.ndarra
         return fm
     ranges = fm.inputs(numbers)
     g_w, g_v = np.full(d, 1e-6), np.full((d, factors), 1e-6)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(label)), max(1, len(label) // batch)):
+    done = 0
+    while done < steps:
+        for part in np.array_split(rng.permutation(len(label)), max(1, len(label) // batch))[: steps - done]:
+            done += 1
             row = np.repeat(np.arange(len(part)), [len(texts[j]) for j in part])
             i, x, r = with_ranges(ranges[part], row, np.concatenate([texts[j] for j in part]) if len(row) else np.zeros(0, np.int64))
             z, s = machine(fm.w0, fm.w, fm.v, i, x, r, len(part))
@@ -186,15 +185,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
 def score_quality(docs: DataFrame, fm: FactorisationMachine, *, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (default all) and the score of each row."""
     keep = docs.columns if keep is None else keep
-    names = [f"_fm_meta{i}" for i in range(len(fm.meta))]
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_fm_text"), *[F.col(c).alias(n) for c, n in zip(fm.meta, names, strict=True)])
+    if score in keep:
+        raise ValueError(f"there is a column {score} already; name another for the score")
+    names, read = [unused(keep, f"_fm_meta{i}") for i in range(len(fm.meta))], unused(keep, "_fm_text")
+    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(read), *[F.col(c).alias(n) for c, n in zip(fm.meta, names, strict=True)])
     # 1 MB, whatever the input.
     sent = docs.sparkSession.sparkContext.broadcast(vars(fm))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorisationMachine(**sent.value)
         for b in batches:
-            out = [m.scores(*x) for x in _inputs(b, "_fm_text", tuple(names))]
+            out = [m.scores(*x) for x in _inputs(b, read, tuple(names))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, score])
 
     return inputs.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(score, "double"))

@@ -7,7 +7,7 @@ character behind it ends a run, so a name isn't part of its value. Most candidat
 nearby) and the four words on either side. It learns from labelled findings; example_findings makes a seeded set of them, for tables that bring none.
 
 Edge cases: null and empty texts have no candidates; a null path counts as empty; a very long text is scanned whole, in pieces of whole rows, and a very long candidate
-is judged whole; repeated rows are scanned each; other columns pass (a column of the name of an added one must not be kept); an empty table gives an empty result.
+is judged whole; repeated rows are scanned each; other columns pass, but one of the name of an added column is an error: name another; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import table
+from plumbframe.llm.common import table, unused
 
 MIN_LENGTH = 12
 LONG = 24
@@ -370,8 +370,10 @@ def scan_secrets(docs: DataFrame, forest: Forest, *, text: str = "text", path: s
     """The columns of keep (default all) with findings: array of (start, stop in bytes, score, secret); on request also redacted:
     the text with its secrets replaced (null stays null)."""
     keep = docs.columns if keep is None else keep
-    read = text if text in keep else "_sec_text"
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]), *([F.col(path).cast("string").alias("_sec_path")] if path else []))
+    if clash := {findings, redacted} & set(keep):
+        raise ValueError(f"there is a column {', '.join(sorted(clash))} already; name another")
+    read, of_path = text if text in keep else unused(keep, "_sec_text"), unused(keep, "_sec_path")
+    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]), *([F.col(path).cast("string").alias(of_path)] if path else []))
     sent = docs.sparkSession.sparkContext.broadcast(forest.trees)  # some 100 KB
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64()), ("secret", pa.bool_())]))
 
@@ -379,7 +381,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, *, text: str = "text", path: s
         grown = Forest(sent.value)
         for b in batches:
             found, texts = [], b.column(read).to_pylist() if redacted else []
-            for i, (raw, rows) in enumerate(_judged(b, read, "_sec_path" if path else None, grown, threshold)):
+            for i, (raw, rows) in enumerate(_judged(b, read, of_path if path else None, grown, threshold)):
                 found.append([{"start": s, "stop": e, "score": p, "secret": p >= threshold} for s, e, p in rows])
                 if redacted and any(p >= threshold for *_, p in rows):
                     parts, at = [], 0

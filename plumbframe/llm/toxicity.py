@@ -9,8 +9,9 @@ Where the second part falls below 0 the classifier has begun to fit single texts
 The training rows are a bounded sample (max_positive and max_unlabelled, by smallest hash of the id); their words are hashed on the
 executors, and only bucket numbers reach the driver. Scores cover every row and whole texts.
 
-Edge cases: null and empty texts get the score of no words; labels without text are ignored; without any positive
-example every score is the prior; repeated rows are scored each; extra columns pass.
+Edge cases: null and empty texts get the score of no words; a very long text is scored whole, with its distinct words; labels without text are ignored; without any positive
+example every score is the prior; repeated rows are scored each; an empty table gives an empty result; other columns pass, but one of the name
+of the score is an error: name another.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbframe.llm import hashing
-from plumbframe.llm.common import sampled_ids, table
+from plumbframe.llm.common import sampled_ids, table, unused
 
 BUCKETS = 1 << 17
 SEED = "plumbframe-pu-1"
@@ -67,50 +68,56 @@ def buckets_of(rows: DataFrame, ids: DataFrame, *, doc_id: str = "doc_id", text:
     return [np.frombuffer(r[1], np.uint32) for r in got]
 
 
-def _flat(texts: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place of bucket) of the buckets that have a place."""
-    kept = [p[p >= 0] for p in (place[t] for t in texts)]
-    return np.repeat(np.arange(len(kept), dtype=np.int32), [len(p) for p in kept]), np.concatenate(kept)
-
-
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, buckets: int = BUCKETS, steps: int = 300, rate: float = 0.05, l1: float = 2e-4, min_texts: int = 4) -> LinearModel:
-    """Adam with a proximal L1 step on the non-negative risk with the logistic loss."""
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, buckets: int = BUCKETS, steps: int = 300, rate: float = 0.05, l1: float = 0.01) -> LinearModel:
+    """Adam with a proximal L1 step on the non-negative risk with the logistic loss. The penalty of a bucket is l1 over the root of the number of positive texts times
+    the number that hold it: the fewer tell of a word, the more it must tell. Only buckets of positive texts have weights: no other can speak for a text being one."""
     prior = float(min(max(prior, 1e-4), 0.9))
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return LinearModel(np.zeros(buckets), bias)
-    # Buckets of few positive texts tell nothing and are left out of training.
-    known = np.flatnonzero(np.bincount(np.concatenate(positive), minlength=buckets) >= min_texts)
+    known = np.unique(np.concatenate(positive))
+    d, n_p, n_u = len(known), len(positive), len(unlabelled)
     place = np.full(buckets, -1, np.int32)
-    place[known] = np.arange(len(known))
-    (rp, bp), (ru, bu) = _flat(positive, place), _flat(unlabelled, place)
-    n_p, n_u, d = len(positive), len(unlabelled), len(known)
-    l1 *= max(1.0, (600 / n_p) ** 0.5)  # few examples: fewer weights
+    place[known] = np.arange(d)
+    # Each row and each column ends in one more entry, the bias, so none is empty: sums over rows and columns are sums of runs.
+    rows = [np.append(p[p >= 0], np.int32(d)) for p in (place[t] for t in (*positive, *unlabelled))]
+    begin = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
+    column = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    by_column = row[np.argsort(column, kind="stable")]
+    column_begin = np.concatenate(([0], np.cumsum(np.bincount(column, minlength=d + 1))[:-1]))
+    del rows, row
+    penalty = l1 / np.sqrt(n_p * np.bincount(column[: begin[n_p]], minlength=d + 1)[:d])
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = bias
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    soft = lambda z: np.logaddexp(0, z)
     for t in range(1, steps + 1):
-        zp = np.bincount(rp, weights=w[bp], minlength=n_p) + w[d]
-        zu = np.bincount(ru, weights=w[bu], minlength=n_u) + w[d]
-        negative = soft(zu).mean() - prior * soft(zp).mean()
-        gp_up, gp_down, gu = -prior * sigmoid(-zp) / n_p, -prior * sigmoid(zp) / n_p, sigmoid(zu) / n_u
-        if negative >= 0:
-            gp, gu = gp_up + gp_down, gu
-        else:
-            gp, gu = -gp_down, -gu
-        g = np.empty(d + 1)
-        g[:d] = np.bincount(bp, weights=gp[rp], minlength=d) + np.bincount(bu, weights=gu[ru], minlength=d)
-        g[d] = gp.sum() + gu.sum()
+        z = np.add.reduceat(w[column], begin)
+        z_p, z_u = z[:n_p], z[n_p:]
+        up, down, u = nnpu_slopes(z_p, z_u, prior)
+        g = np.add.reduceat(np.concatenate((up + down, u))[by_column], column_begin)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w = w - scale * (m / (1 - 0.9**t))
-        w[:d] = np.sign(w[:d]) * np.maximum(np.abs(w[:d]) - np.minimum(scale[:d] * l1, rate), 0)
+        w[:d] = np.sign(w[:d]) * np.maximum(np.abs(w[:d]) - np.minimum(scale[:d] * penalty, rate), 0)
     weights = np.zeros(buckets)
     weights[known] = w[:d]
     return LinearModel(weights, float(w[d]))
 
 
+def nnpu_risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: of positive texts called clean, and of unlabelled ones called toxic, less the share of positive ones in them."""
+    soft = lambda z: np.logaddexp(0, z)
+    return prior * float(soft(-z_p).mean()), float(soft(z_u).mean() - prior * soft(z_p).mean())
+
+
+def nnpu_slopes(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How the step's risk changes with each output: of positive texts by the first part and by the second, of unlabelled ones. Where the second
+    part is negative the step goes up on it, and on it alone."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    up, down, u = -prior * sigmoid(-z_p) / len(z_p), -prior * sigmoid(z_p) / len(z_p), sigmoid(z_u) / len(z_u)
+    return (up, down, u) if nnpu_risk(z_p, z_u, prior)[1] >= 0 else (np.zeros(len(z_p)), -down, -u)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 12000, prior: float | None = None) -> LinearModel:
     """Train from the labels given (leave held-out rows out of them). prior: the toxic share; None: that of the labels."""
     known = labels.select(F.col(doc_id).alias("_label_id"), F.col(label).alias("_label")).filter(F.col("_label").isNotNull() & F.col("_label_id").isNotNull())
@@ -127,7 +134,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 def score_toxicity(docs: DataFrame, model: LinearModel, *, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns of keep (default all) and the score of each row."""
     keep = docs.columns if keep is None else keep
-    read = text if text in keep else "_tox_text"
+    if score in keep:
+        raise ValueError(f"there is a column {score} already; name another for the score")
+    read = text if text in keep else unused(keep, "_tox_text")
     inputs = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias(read)]))
     # 1 MB, whatever the input.
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))

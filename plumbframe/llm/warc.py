@@ -9,7 +9,8 @@ Reading: files are parsed by Content-Length; continuation records are grouped by
 and against the total length, joined, and the chunk framing decoded.
 
 Edge cases: a null payload is empty; empty payloads are equal to each other; a null id counts as smaller than any; of equal pages with
-equal ids each is a response, with its number among them in its record identifier from the second on; a missing URL becomes an empty header; incomplete segment groups give a null payload and complete = false.
+equal ids each is a response, all but one with a number of its own in its record identifier; a very long page is cut into segments, joined in one row when read; a
+missing URL becomes an empty header; incomplete segment groups give a null payload and complete = false; without pages there are no records; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbframe.llm.common import durable, fresh_path, table
+from plumbframe.llm.common import discard, durable, fresh_path, remove, table
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -97,16 +98,19 @@ def page_records(page_id: int | None, url: str | None, html: str | None, digest:
         yield _record(more + ([("WARC-Segment-Total-Length", str(len(block)))] if i == len(parts) else []), part)
 
 
-def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 8192, chunk_bytes: int = 4096, records_per_file: int = 4096) -> None:
+def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 8192, chunk_bytes: int = 4096, records_per_file: int = 2048) -> None:
     """Write pages as WARC files of at most records_per_file records below path."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     # Written out, so that its size is known when the join is planned: few repeated payloads are broadcast, many are shuffled.
     per_id = rows.groupBy("sha1", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = durable(per_id.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.sum("n").alias("n"), F.max("n").alias("copies")).filter("n > 1").drop("n"), "payloads").withColumnRenamed("sha1", "_sha1")
+    payloads = durable(per_id.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.sum("n").alias("n"), F.max("n").alias("copies")).filter("n > 1").drop("n"), "payloads")
+    repeated = payloads.withColumnRenamed("sha1", "_sha1")
     same = F.col("sha1") == F.col("_sha1")
-    # Only payloads that one id has more than once are shuffled, to number their pages.
-    twins = rows.join(repeated.filter("copies > 1"), same).withColumn("copy", F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url")))
-    rows = rows.join(repeated, same, "left").filter("copies IS NULL OR copies = 1").withColumn("copy", F.lit(1)).unionByName(twins)
+    # Pages that one id has more than once are written out with a number of their own; no group of them meets in one task.
+    numbered = durable(rows.join(repeated.filter("copies > 1"), same).withColumn("at", F.monotonically_increasing_id()), "twins")
+    first = durable(numbered.groupBy(F.col("sha1").alias("_first_sha1"), F.col("page_id").alias("_first_id")).agg(F.min("at").alias("first")), "first")
+    twins = numbered.join(first, (F.col("sha1") == F.col("_first_sha1")) & F.col("page_id").eqNullSafe(F.col("_first_id"))).withColumn("copy", F.when(F.col("at") == F.col("first"), 1).otherwise(F.col("at") + 2))
+    rows = rows.join(repeated, same, "left").filter("copies IS NULL OR copies = 1").withColumn("copy", F.lit(1).cast("long")).unionByName(twins.select(*rows.columns, *repeated.columns, "copy"))
     older = F.col("page_id").isNull() | (F.col("page_id") < F.col("newest"))
     rows = rows.select("page_id", "url", "html", base32(F.col("sha1")).alias("digest"), F.when(older, F.col("newest")).alias("refers_to"), "copy")
 
@@ -121,6 +125,7 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    discard(payloads, numbered, first)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -202,6 +207,7 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     # Digests are written out: both sides of the join below come from one reading.
     read = read_archives(spark, path).select("record_id", "record_type", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("n"), base32(F.sha1("payload")).alias("digest"))
     read = durable(read, "digests")
+    remove(path)
     responses = read.filter("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("n").alias("_n"), F.col("digest").alias("_digest")).dropDuplicates(["_id"])
     out = read.filter("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     back = read.filter("record_type = 'revisit'").join(responses, F.col("refers_to") == F.col("_id")).select("page_id", F.col("_n").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", F.col("_page").alias("refers_to"))

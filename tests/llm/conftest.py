@@ -21,7 +21,7 @@ def tables(spark, tmp_path):
         for name, rows in named.items():
             rows = [(*r, None, None, None)[:5] if name == "documents" else r for r in rows]
             df = spark.createDataFrame(rows, SCHEMAS[name]).repartition(3)
-            extra = {c: F.lit("x") for c in ("size", "target", "score", "key", "node", "n_words", "findings", "copies", "_label", "fp", "page") if c not in df.columns}
+            extra = {c: F.lit("x") for c in ("size", "target", "score", "key", "node", "n_words", "findings", "copies", "_label", "fp", "page", "_toxicity", "_copy", "_repeated", "_leak", "_redacted", "_findings", "_mix_source", "_tox_text", "_sec_text", "_fm_text", "mix_size", "mix_copy", "a", "b", "text_") if c not in df.columns}
             df.withColumns(extra).write.mode("overwrite").parquet(f"file://{tmp_path}/{name}.parquet")
         return f"file://{tmp_path}"
 

@@ -274,6 +274,13 @@ def test_repeated_long_pages(spark, tables, tmp_path):
     assert len(ids) == len(set(ids))
 
 
+def test_revisits_of_a_repeated_long_page(spark, tables):
+    """Many equal rows of one id, none of which are numbered in one place, and revisits that find their bytes."""
+    rows = [(9, "u", "body " * 3000)] * 60 + [(i % 5, "u", "body " * 3000) for i in range(30)] + [(None, None, None)] * 50
+    got = warc.op4_warc(spark, tables(pages=rows)).collect()
+    assert collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == {(9, 15000, "response", None): 60, (None, 0, "response", None): 50} | {(i, 15000, "revisit", 9): 6 for i in range(5)}
+
+
 def test_segments(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "é" * 5000), (2, "u", "x")], "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"

@@ -53,8 +53,8 @@ def test_pipeline(spark, tables):
     assert max(copies.values()) <= 2
     taken, target = {}, {}
     for r in rows:
-        taken[r.source] = taken.get(r.source, 0) + r.mix_size
-        target[r.source] = r.mix_target
+        taken[r.source] = taken.get(r.source, 0) + r.mix__size
+        target[r.source] = r.mix__target
     for s, t in target.items():
         assert abs(taken[s] - t) < 0.3 * t
 
