@@ -13,7 +13,7 @@ from plumbframe.operators import Frame, GroupedFrame, Row
 from plumbframe.plans.nodes import Ordering, SourceKind, SourceRef
 from plumbframe.plans.requests import ScanRequest, scan_requests
 from plumbframe.runtime import EnginePolicy, ExecutionReceipt, FrameRuntime, PushdownReceipt
-from plumbframe.sources import SourceBinding, arrow_bytes, arrow_ipc_binding, csv_options, dataframe_binding, delimited_binding, delimited_path_binding, header_names, parquet_binding, rows_binding, table_binding, to_text, tsv_options, write_text
+from plumbframe.sources import ArrowSink, FrameSink, FrameSource, ScanPlan, SourceBinding, arrow_bytes, arrow_ipc_binding, csv_options, dataframe_binding, delimited_binding, delimited_path_binding, header_names, parquet_binding, rows_binding, source_binding, table_binding, to_text, tsv_options, write_text
 from plumbframe.table import Table
 from plumbframe.types import BOOL, FLOAT32, FLOAT64, INT32, INT64, TIMESTAMP, UTF8, BindingIssue, DataType, Field, Schema, TimeUnit, timestamp
 

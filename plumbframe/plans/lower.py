@@ -3,7 +3,7 @@
 Columns are named by position inside (c0, c1, ...), so names never clash, self-joins resolve, and any name is possible. Predicates of filters and
 joins are lowered in a form that Catalyst can push down and use for equi-joins; values are lowered with exact three-valued logic.
 The semantic differences to Spark are encoded here: NaN is unequal to itself, division of floats follows IEEE, integers keep their width and
-raise on overflow, minima propagate NaN, and -0.0 sorts before 0.0 where strict_zero is set.
+raise on overflow, minima propagate NaN, and -0.0 sorts before 0.0 unless strict_zero is off.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ Columns = dict[ScopeToken, list[Column]]
 
 @dataclass(frozen=True)
 class Lowering:
-    """strict_zero: tell -0.0 from 0.0 in comparisons and sorts, at the cost of a string for each zero that is compared."""
+    """strict_zero: tell -0.0 from 0.0 in comparisons, sorts and extrema. Comparisons with literals other than 0 stay as they are, and reach the scan."""
 
-    strict_zero: bool = False
+    strict_zero: bool = True
 
     # Expressions
 
@@ -96,7 +96,7 @@ class Lowering:
                 return a & b
             case Binary.OR:
                 return a | b
-        if floats and self.strict_zero and n.op in ORDERING:
+        if floats and self.strict_zero and n.op in ORDERING and not any(isinstance(x.node, Literal) and x.node.value != 0 for x in (n.left, n.right)):
             return self._strict(n.op, a, b)
         return {Binary.LT: a < b, Binary.LE: a <= b, Binary.GT: a > b, Binary.GE: a >= b}[n.op]
 
@@ -229,7 +229,8 @@ def _literal(value: object, dtype: DataType) -> Column:
 
 
 def _negative_zero(x: Column) -> Column:
-    return x.cast("string") == "-0.0"
+    """Whether x is -0.0: the only zero whose reciprocal is below 0."""
+    return (x == 0) & (F.pow(x, F.lit(-1.0)) < 0)
 
 
 def _integer_division(a: Column, b: Column, dtype: DataType) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from typing import BinaryIO
+
 import pyarrow as pa
 
 from plumbframe.errors import SinkError, SourceError
 from plumbframe.plans.nodes import SourceRef
-from plumbframe.sources.binding import SourceBinding, table_binding
+from plumbframe.sources.binding import SinkReceipt, SourceBinding, table_binding
 from plumbframe.table import Table
 from plumbframe.types import BOOL, FLOAT32, FLOAT64, INT32, INT64, TIMESTAMP, UTF8, DataType, Field, Schema, TimeUnit
 
@@ -44,6 +47,22 @@ def arrow_ipc_binding(data: bytes, schema: Schema | None = None, ref: SourceRef
     return table_binding(read_table(data, schema), ref)
 
 
+class ArrowSink:
+    """A sink that writes batches as an Arrow IPC stream into an open binary file."""
+
+    def __init__(self, out: BinaryIO):
+        self.out = out
+
+    def write(self, schema: Schema, batches: Iterable[Table]) -> SinkReceipt:
+        rows = parts = 0
+        counted = pa.PythonFile(self.out, "w")
+        with pa.ipc.new_stream(counted, schema.to_arrow()) as writer:
+            for t in batches:
+                writer.write_table(t.data.cast(schema.to_arrow()))
+                rows, parts = rows + len(t), parts + 1
+        return SinkReceipt(rows, parts, counted.tell())
+
+
 def arrow_bytes(table: Table) -> bytes:
     """A table as an Arrow IPC stream; timestamps must be in microseconds."""
     for f in table.schema:

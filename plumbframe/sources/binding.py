@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from plumbframe.errors import SourceError, StorageError
 from plumbframe.operators.frame import Frame
 from plumbframe.plans.nodes import SourceKind, SourceRef
+from plumbframe.plans.requests import ScanRequest
 from plumbframe.table import Table
 from plumbframe.types import Schema
 
@@ -26,6 +28,43 @@ class Capabilities:
     batch_size: bool = True
 
 
+@dataclass(frozen=True)
+class ScanPlan:
+    """What a source makes of a request: rows with the columns asked for, at least; accepted says in its own words what it took over.
+    Whatever it takes over is applied again above it, so taking less, or nothing, is never wrong."""
+
+    dataframe: DataFrame
+    columns: tuple[str, ...]
+    accepted: tuple[str, ...] = ()
+
+
+class FrameSource(Protocol):
+    """A source of one's own."""
+
+    def inspect(self, spark: SparkSession) -> Schema: ...
+
+    def plan(self, spark: SparkSession, request: ScanRequest) -> ScanPlan: ...
+
+
+@dataclass(frozen=True)
+class SinkReceipt:
+    rows: int
+    batches: int
+    bytes: int
+
+
+class FrameSink(Protocol):
+    """A place of one's own for the batches of a result."""
+
+    def write(self, schema: Schema, batches: Iterable[Table]) -> SinkReceipt: ...
+
+
+def filled(df: DataFrame, schema: Schema) -> DataFrame:
+    """df with the columns of the schema; those that weren't read are null."""
+    quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    return df.select(*[quoted(f.name) if f.name in df.columns else F.lit(None).cast(f.dtype.to_spark()).alias(f.name) for f in schema])
+
+
 @dataclass(frozen=True)
 class SourceBinding:
     """A described source: its schema is exact, and load makes the DataFrame anew for each run.
@@ -39,6 +78,12 @@ class SourceBinding:
     capabilities: Capabilities = field(default_factory=Capabilities)
     route: str = "memory"
     one_source: bool = False
+    plan: Callable[[SparkSession, ScanRequest], ScanPlan] | None = None
+
+    @property
+    def columnar(self) -> bool:
+        """Whether rows come in columns, not from a parser of rows."""
+        return self.route not in ("parser", "spark.read.csv")
 
     @property
     def frame(self) -> Frame:
@@ -83,6 +128,12 @@ def dataframe_binding(df: DataFrame, schema: Schema | None = None, ref: SourceRe
     return SourceBinding(ref or SourceRef.scan("dataframe"), want, lambda _: df, Capabilities(True, True, True, False), "dataframe", ref is None)
 
 
+def source_binding(spark: SparkSession, source: FrameSource, ref: SourceRef | None = None) -> SourceBinding:
+    """A source of one's own, which is asked for its schema once, and for a plan each time a frame runs."""
+    schema = source.inspect(spark)
+    return SourceBinding(ref or SourceRef.scan("source"), schema, lambda session: source.plan(session, ScanRequest(columns=schema.names)).dataframe, Capabilities(True, True, True, True), type(source).__name__, ref is None, source.plan)
+
+
 def parquet_binding(path: str, schema: Schema, ref: SourceRef | None = None, *, verify_required: bool = False) -> SourceBinding:
     """Parquet files. Spark prunes columns and pushes predicates; verify_required looks for nulls in required columns first (one pass)."""
 

@@ -1,7 +1,8 @@
 """CSV and TSV, lossless: a quoted cell is always data, only an unquoted one can be null.
 
-Where the options allow it, files are read by Spark's own reader, in many tasks a file; else each file is parsed by the state machine
-here, one task a file. Both raise on malformed input. The route that ran stands in the binding.
+Where the options allow it, files are read by Spark's own reader; else by the state machine here, which is fed with lines. Where no line of the files holds an
+odd number of quotes, no cell goes beyond a line, and each split of a file is a task; else the lines of a file go in order through one task, a batch at a time. No file is ever
+held as a whole. All raise on malformed input. The route that ran stands in the binding.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbframe.errors import OptionError, PlumbError, SinkError, SourceError, StorageError
 from plumbframe.plans.nodes import SourceRef
-from plumbframe.sources.binding import Capabilities, SourceBinding, _spark_frame
+from plumbframe.sources.binding import Capabilities, SinkReceipt, SourceBinding, _spark_frame
 from plumbframe.table import Table, arrow_table
 from plumbframe.types import DataType, Schema, TimeUnit
 
@@ -110,11 +111,11 @@ def _malformed(record: int, at: int, what: str) -> SourceError:
 Cell = tuple[str, bool]
 
 
-def records(text: str, delimiter: str, limits: Limits) -> Iterator[list[Cell]]:
-    """(value, quoted) of each cell of each record. A blank line is a record of one empty cell; a line end at the end starts none."""
-    if text.startswith(BOM):
+def records(text: str, delimiter: str, limits: Limits, number: int = 0) -> Iterator[list[Cell]]:
+    """(value, quoted) of each cell of each record. A blank line is a record of one empty cell; a line end at the end starts none. number: the records before."""
+    if not number and text.startswith(BOM):
         text = text[1:]
-    at, n, number = 0, len(text), 0
+    at, n = 0, len(text)
     line_end = re.compile(r"\r\n|\r|\n")
     plain_end = re.compile(f"[{re.escape(delimiter)}\r\n\"]")
     while at < n:
@@ -194,12 +195,11 @@ def decode(value: str, dtype: DataType) -> object:
             return float(value.rstrip("fFdD") if value[-1] in "fFdD" and not value.endswith("Infinity") else value.replace("Infinity", "inf"))
 
 
-def rows_of(text: str, o: DelimitedOptions) -> Iterator[list[object]]:
-    """Decoded rows; the header is checked where there is one."""
+def rows_of(text: str, o: DelimitedOptions, number: int = 0) -> Iterator[list[object]]:
+    """Decoded rows; the header is checked where there is one. number: the records of the file before this text."""
     names = list(o.schema.names)
-    found = records(text, o.delimiter, o.limits)
-    number = 0
-    if o.header:
+    found = records(text, o.delimiter, o.limits, number)
+    if o.header and not number:
         number = 1
         first = next(found, None)
         if first is None:
@@ -263,25 +263,73 @@ def _native(path: str, o: DelimitedOptions) -> Callable[[SparkSession], DataFram
     return load
 
 
+#: Bytes of lines that are parsed together.
+CHUNK = 1 << 18
+
+
 def _parsed(path: str, o: DelimitedOptions) -> Callable[[SparkSession], DataFrame]:
     schema = o.schema.to_arrow()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                part: list[list[object]] = []
+        here, number, passed, size, odd = None, 0, 0, 0, False
+        waiting: list[bytes] = []
+
+        def parsed() -> Iterator[pa.RecordBatch]:
+            """The rows of what waits, in batches."""
+            nonlocal number, passed, size, odd
+            text, before = b"\n".join(waiting) + b"\n", passed
+            waiting.clear()
+            passed, size, odd = passed + len(text), 0, False
+            # A split that doesn't begin its file has records before it; how many isn't known.
+            part: list[list[object]] = []
+            try:
                 try:
-                    for row in rows_of(as_text(content.as_py()), o):
-                        part.append(row)
-                        if len(part) >= o.batch_size:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-                            part = []
-                except PlumbError as e:
-                    raise ValueError(f"plumbframe:delimited:{e.code}:{e.message}") from None
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+                    decoded = text.decode("utf-8")
+                except UnicodeDecodeError as e:
+                    raise SourceError("InvalidUtf8", f"byte {before + e.start} isn't UTF-8", byte_offset=before + e.start) from e
+                header = int(o.header and not number)
+                for row in rows_of(decoded, o, number):
+                    part.append(row)
+                    number += 1
+                    if len(part) >= o.batch_size:
+                        yield made(part)
+                        part = []
+                number += header
+            except PlumbError as e:
+                raise ValueError(f"plumbframe:delimited:{e.code}:{e.message}") from None
+            if part:
+                yield made(part)
+
+        def made(part: list[list[object]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            for line, file, start in zip(*(b.column(c) for c in range(3)), strict=True):
+                if here != (file.as_py(), start.as_py()):
+                    if waiting:
+                        yield from parsed()
+                    here = (file.as_py(), start.as_py())
+                    number, passed = (0 if here[1] == 0 else 1), here[1]
+                raw = line.as_py()
+                waiting.append(raw)
+                size += len(raw) + 1
+                odd ^= bool(raw.count(b'"') % 2)
+                if size >= CHUNK and not odd:
+                    yield from parsed()
+        if waiting:
+            yield from parsed()
 
-    return lambda spark: spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, o.schema.to_spark())
+    def load(spark: SparkSession) -> DataFrame:
+        value = F.col("value")
+        lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        across = lines.filter((F.length(value) - F.length(F.replace(value, F.lit('"')))) % 2 == 1).limit(1).count()
+        raw = value.cast("binary").alias("value")
+        if not across:
+            return lines.select(raw, "file", "start").mapInArrow(run, o.schema.to_spark())
+        ordered = lines.withColumn("at", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "start", "at")
+        return ordered.select(raw, "file", F.lit(0).cast("long").alias("start")).mapInArrow(run, o.schema.to_spark())
+
+    return load
 
 
 # Headers
@@ -297,8 +345,10 @@ class HeaderOptions:
 def header_names(data: str | bytes, options: HeaderOptions | None = None) -> list[str]:
     """The names in the first record; nothing after it is looked at."""
     o = options or HeaderOptions()
-    text = data if isinstance(data, str) else data.decode("utf-8", "ignore")
+    text = data if isinstance(data, str) else data.decode("utf-8", "surrogateescape")
     first = next(records(text, o.delimiter, o.limits), None)
+    if not isinstance(data, str) and any("\udc80" <= c <= "\udcff" for cell, _ in first or [] for c in cell):
+        raise SourceError("InvalidUtf8", "the header isn't UTF-8")
     if first is None:
         raise SourceError("SchemaMismatch", "there is no header")
     names = [c for c, _ in first]
@@ -315,27 +365,22 @@ def header_names(data: str | bytes, options: HeaderOptions | None = None) -> lis
 def header_names_of_path(spark: SparkSession, path: str, options: HeaderOptions | None = None) -> list[str]:
     """header_names of the first file below path, of which only the beginning is read."""
     o = options or HeaderOptions()
-    head: list[str] = []
-    for r in spark.read.text(path).limit(4096).toLocalIterator():
-        head.append(r[0])
-        text = "\n".join(head)
-        if text.count('"') % 2 == 0:
-            return header_names(text, o)
-        if _units(text) > o.limits.max_record:
-            break
-    return header_names("\n".join(head), o)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
+    n = 1
+    while True:
+        # As many lines as the header needs, however long it is, found by doubling.
+        head = [bytes(r[0]) for r in lines.limit(n).collect()]
+        for i in range(1, len(head) + 1):
+            if b"\n".join(head[:i]).count(b'"') % 2 == 0:
+                return header_names(b"\n".join(head[:i]) + b"\n", o)
+        if len(head) < n or sum(map(len, head)) > 4 * o.limits.max_record:
+            return header_names(b"\n".join(head), o)
+        n *= 2
 
 
 # Sinks
 
 
-@dataclass(frozen=True)
-class SinkReceipt:
-    rows: int
-    batches: int
-    bytes: int
-
-
 def _cell(c: Column, dtype: DataType, o: DelimitedOptions) -> Column:
     if dtype.name == "Timestamp" and dtype.unit is TimeUnit.MICROSECOND:
         c = F.unix_micros(c.cast("timestamp"))

@@ -30,7 +30,7 @@ def batches(runtime: FrameRuntime, frame: Frame, size: int) -> Iterator[Table]:
         return
     try:
         rows: list[tuple] = []
-        for r in runtime._lowering.lower(plan, runtime._bound).toLocalIterator():
+        for r in runtime._lowering.lower(plan, runtime._asking(frame)).toLocalIterator():
             rows.append(tuple(r))
             if len(rows) == size:
                 yield Table.from_rows(rows, frame.schema, size)
