@@ -5,21 +5,28 @@ Sums of fractions depend on the order of addition, so such results are rounded o
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import dataclasses
 import datetime
 import functools
+import io
+import itertools
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbframe.functions import count, literal, max_, mean, min_, stddev_pop, sum_, variance_pop
+from plumbframe.errors import PlumbError
+from plumbframe.functions import Nulls, Order, count, literal, max_, mean, min_, stddev_pop, sum_, variance_pop
 from plumbframe.operators import Frame, Row
 from plumbframe.plans.nodes import SourceRef
-from plumbframe.runtime import FrameRuntime
-from plumbframe.sources import NullPolicy, SourceBinding, arrow_bytes, arrow_ipc_binding, csv_options, delimited_binding, delimited_path_binding, header_names, parquet_binding, rows_binding, table_binding, to_text, tsv_options, write_text
+from plumbframe.plans.requests import ScanRequest, scan_requests
+from plumbframe.runtime import EnginePolicy, FrameRuntime
+from plumbframe.sources import ArrowSink, NullPolicy, ScanPlan, SourceBinding, arrow_bytes, arrow_ipc_binding, csv_options, dataframe_binding, delimited_binding, delimited_path_binding, header_names, header_names_of_path, parquet_binding, rows_binding, source_binding, table_binding, to_text, tsv_options, write_text
 from plumbframe.table import Table
-from plumbframe.types import FLOAT64, INT32, INT64, TIMESTAMP, UTF8, Field, Schema
+from plumbframe.types import BOOL, FLOAT32, FLOAT64, INT32, INT64, TIMESTAMP, UTF8, DataType, Field, Schema
 
 # The schemas of the tables.
 TABLES = {
@@ -145,7 +152,14 @@ _BOTH_SQL = "(SELECT c_name AS name, c_nationkey AS nation FROM customer UNION A
 _add("union_all", _BOTH, f"SELECT * FROM {_BOTH_SQL}")
 _add("union_distinct", _BOTH.select("nation").distinct(), f"SELECT DISTINCT nation FROM {_BOTH_SQL}")
 _add("sort_limit_topk", ORDERS.sort_by(lambda r: r["o_totalprice"].desc(), "o_orderkey").limit(25), "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
-_add("sort_multi_nulls", _LOOSE.sort_by(lambda r: r["o_totalprice"].asc(), "c_custkey", lambda r: r["o_orderkey"].asc()).limit(200), f"SELECT * FROM {_LOOSE_SQL} ORDER BY o_totalprice ASC NULLS LAST, c_custkey, o_orderkey NULLS LAST LIMIT 200")
+_add("sort_multi_nulls", _LOOSE.sort_by(lambda r: r["o_totalprice"].asc(), "c_custkey", lambda r: r["o_orderkey"].asc()), f"SELECT * FROM {_LOOSE_SQL}")
+for _order, _nulls in itertools.product(Order, Nulls):
+    # A report of the first 40, so that the rows tell where nulls go.
+    _add(f"topk_{_order.value.lower()}_nulls_{_nulls.value.lower()}", _LOOSE.sort_by(lambda r, o=_order, n=_nulls: r["o_totalprice"].asc(n) if o is Order.ASCENDING else r["o_totalprice"].desc(n), "c_custkey", lambda r: r["o_orderkey"].asc()).limit(40), f"SELECT * FROM {_LOOSE_SQL} ORDER BY o_totalprice {'ASC' if _order is Order.ASCENDING else 'DESC'} NULLS {_nulls.value.upper()}, c_custkey, o_orderkey NULLS LAST LIMIT 40")
+_add("sort_shared_policy", _LOOSE.sort_by("o_orderstatus", "c_custkey", "o_orderkey", order=Order.DESCENDING, nulls=Nulls.FIRST).limit(40), f"SELECT * FROM {_LOOSE_SQL} ORDER BY o_orderstatus DESC NULLS FIRST, c_custkey DESC, o_orderkey DESC NULLS FIRST LIMIT 40")
+_add("sort_dynamic_key", CUSTOMER.sort_by(CUSTOMER.schema.names[0]).limit(10), "SELECT * FROM customer ORDER BY c_custkey LIMIT 10")
+_add("limit_of_limit", ORDERS.sort_by("o_orderkey").limit(30).limit(7), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 7")
+_add("typed_dynamic_normalized", REGION.dynamic().typed(TABLES["region"]).normalized(), "SELECT * FROM region")
 _add("limit_zero", ORDERS.limit(0), "SELECT * FROM orders LIMIT 0")
 
 # Whole pipelines
@@ -173,11 +187,23 @@ def _again(binding: SourceBinding, spark: SparkSession) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, or in a local one where none is named."""
+    """A fresh path in the shared folder, deleted at the end of the program. Without such a folder a local one, if master is local; else an error."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='plumbframe-')}"
-    return f"{base.rstrip('/')}/plumbframe-io/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='plumbframe-')}"
+    path = f"{base.rstrip('/')}/plumbframe-io/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # a folder left behind costs space, not results
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +250,178 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _again(table_binding(Table.from_rows(rows, frame.schema)), spark)
 
 
+def _report(spark: SparkSession, found: list[tuple], /, **columns: DataType) -> DataFrame:
+    schema = Schema(Field(n, t, True) for n, t in columns.items())
+    return _again(rows_binding(found, schema), spark)
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = Schema.of(k=INT32, v=(UTF8, True), x=FLOAT32)
+    binding = rows_binding([(1, "a", 0.1), (2, None, -2.5), (2, "é", 1e10)], schema, SourceRef.values("made"))
+    return FrameRuntime(spark, binding).dataframe(Frame.values(SourceRef.values("made"), schema))
+
+
+def _values_of_a_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of what sources and references refuse."""
+    region = TABLES["region"]
+    tries = {"scan as values": lambda: Frame.values(SourceRef.scan("r"), region), "blank id": lambda: SourceRef.scan(" "), "no id": lambda: SourceRef(None, "r"), "blank name": lambda: SourceRef("r", ""), "no name": lambda: SourceRef("r", None), "no order": lambda: SourceRef("r", "r", order=None)}
+    rows = []
+    for what, make in tries.items():
+        try:
+            make()
+            rows.append((what, "made"))
+        except PlumbError as e:
+            rows.append((what, e.code))
+    return _report(spark, rows, what=UTF8, code=UTF8)
+
+
+def _sum_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of Float32 stay Float32: here whole numbers, which any order of addition gives."""
+    lines = runtime(spark, sf_dir).dataframe(LINES.select("l_returnflag", "l_quantity")).select("l_returnflag", F.col("l_quantity").cast("float").alias("q"))
+    binding = dataframe_binding(lines, Schema.of(l_returnflag=(UTF8, True), q=(FLOAT32, True)))
+    summed = binding.frame.group_by("l_returnflag").aggregate(lambda r: sum_(r["q"]).as_("q"))
+    assert summed.schema.fields[1].dtype == FLOAT32
+    return FrameRuntime(spark, binding).dataframe(summed)
+
+
+def _dynamic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema found when the query runs."""
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    frame = Frame.scan(SourceRef.scan("found"), Schema.from_spark(df.schema))
+    names = [n for n in frame.schema.names if n.endswith(("key", "size"))]
+    return FrameRuntime(spark, dataframe_binding(df, ref=SourceRef.scan("found"))).dataframe(frame.select(*names))
+
+
+def _union_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a union's stream the left side comes whole before the right."""
+    both = REGION.select("r_name").sort_by("r_name").union_all(NATION.select(lambda r: r["n_name"].as_("r_name")).sort_by("r_name"))
+    rows = [r for t in runtime(spark, sf_dir).stream(both, 4) for r in t.rows()]
+    return _report(spark, [(i, *r) for i, r in enumerate(rows)], at=INT32, name=UTF8)
+
+
+def _limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = [len(t) for t in runtime(spark, sf_dir).stream(ORDERS.limit(23), 10)]
+    return _report(spark, list(enumerate(sizes)), batch=INT32, rows=INT32)
+
+
+def _stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rt = runtime(spark, sf_dir)
+    frames = {"filter": PART.filter(lambda r: r["p_size"] > _i32(30)), "limit": PART.limit(3), "union": REGION.union_all(REGION), "sort": PART.sort_by("p_size"), "distinct": REGION.distinct(), "join": NATION.semi_join(REGION, lambda n, r: n["n_regionkey"].eq(r["r_regionkey"])), "group": PART.group_by("p_size").aggregate(count().as_("n"))}
+    return _report(spark, [(n, rt.stream_physical_explain(f).splitlines()[0].removeprefix("route: ")) for n, f in frames.items()], frame=UTF8, route=UTF8)
+
+
+def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan of a collected frame read and took over, and the same of a streamed one."""
+    frame = PART.filter(lambda r: r["p_size"] > _i32(30)).select("p_partkey")
+    rt = runtime(spark, sf_dir)
+    parts, streamed = rt.stream_with_receipt(frame, 500)
+    collected = rt.collect_with_receipt(frame)[1]
+    assert sum(map(len, parts)) >= 0
+    rows = [(kind, r.engine, r.policy.value, s.source, ",".join(s.columns_read), any("GreaterThan(p_size,30)" in a for a in s.accepted), ",".join(s.requested.columns)) for kind, r in (("collected", collected), ("streamed", streamed)) for s in r.sources]
+    return _report(spark, rows, kind=UTF8, engine=UTF8, policy=UTF8, source=UTF8, columns=UTF8, pushed=BOOL, asked=UTF8)
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for name, frame in {"limit": ORDERS.select("o_orderkey", "o_custkey").limit(5), "below": ORDERS.limit(5).select("o_orderkey"), "join": _q3.select("o_orderkey"), "group": LINES.group_by("l_returnflag").aggregate(lambda r: sum_(r["l_tax"]).as_("t"), count().as_("n")).select("t")}.items():
+        found += [(name, source, r.limit, ",".join(r.columns)) for source, r in scan_requests(frame.plan).items()]
+    return _report(spark, found, frame=UTF8, source=UTF8, limit=INT32, columns=UTF8)
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = REGION.filter(lambda r: r["r_regionkey"] > _i32(1)).select("r_name").limit(3).explain()
+    return _report(spark, list(enumerate(text.splitlines())), place=INT32, line=UTF8)
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table and its schema as text."""
+    table = runtime(spark, sf_dir).collect(REGION.sort_by("r_regionkey"))
+    return _report(spark, [(i, x) for i, x in enumerate([*table.show(max_rows=4).splitlines(), *table.show_schema().splitlines()])], at=INT32, line=UTF8)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by position, cells by name, columns and dataclass instances tell the same."""
+    table = runtime(spark, sf_dir).collect(REGION)
+    kind = dataclasses.make_dataclass("Region", [("r_regionkey", int), ("r_name", str)])
+    own = [table.row_as(i, kind) for i in range(len(table))]
+    rows = [(table.cell(i, "r_regionkey"), table.row(i)[1], table.column("r_name")[i], x.r_name) for i, x in enumerate(own)]
+    again = Table.from_rows(own, table.schema)
+    return _report(spark, [(*r, again.cell(i, 0)) for i, r in enumerate(rows)], k=INT32, by_row=UTF8, by_column=UTF8, by_class=UTF8, again=INT32)
+
+
+class _Numbers:
+    """A source of one's own: numbers with their squares, of which it makes only what is asked for."""
+
+    def inspect(self, spark: SparkSession) -> Schema:
+        return Schema.of(n=INT64, square=INT64, word=UTF8)
+
+    def plan(self, spark: SparkSession, request: ScanRequest) -> ScanPlan:
+        made = {"n": F.col("id"), "square": F.col("id") * F.col("id"), "word": F.concat(F.lit("w"), F.col("id").cast("string"))}
+        columns = [c for c in made if c in request.columns]
+        return ScanPlan(spark.range(100).select(*[made[c].alias(c) for c in columns]), tuple(columns), ("columns",))
+
+
+def _own_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    binding = source_binding(spark, _Numbers())
+    frame = binding.frame.filter(lambda r: r["square"] > 2500).select("n")
+    table, receipt = FrameRuntime(spark, binding).collect_with_receipt(frame)
+    assert receipt.sources[0].columns_read == ("n", "square") and receipt.sources[0].accepted == ("columns",)
+    return _again(table_binding(table), spark)
+
+
+def _own_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches into a sink, and what the sink has read again."""
+    out = io.BytesIO()
+    receipt = runtime(spark, sf_dir).write(NATION, ArrowSink(out), 10)
+    assert receipt.batches == -(-receipt.rows // 10) and receipt.bytes == len(out.getvalue())
+    return _again(arrow_ipc_binding(out.getvalue(), TABLES["nation"]), spark)
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = delimited_binding("a\n1\n", csv_options(Schema.of(a=INT32)), SourceRef.scan("text"))
+    rows = []
+    for policy in EnginePolicy:
+        for name, binding in (("text", text), ("rows", rows_binding([(1,)], Schema.of(a=INT32), SourceRef.values("rows")))):
+            try:
+                rows.append((policy.value, name, str(FrameRuntime(spark, binding, policy=policy).collect(binding.frame).column("a")[0])))
+            except PlumbError as e:
+                rows.append((policy.value, name, e.code))
+    return _report(spark, rows, policy=UTF8, source=UTF8, outcome=UTF8)
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names in the header of written files."""
+    path = _folder(spark, "csv")
+    write_text(runtime(spark, sf_dir).dataframe(CUSTOMER.rename("c_name", 'a "name", quoted\nand long')), path, csv_options(CUSTOMER.rename("c_name", 'a "name", quoted\nand long').schema))
+    return _report(spark, list(enumerate(header_names_of_path(spark, path))), place=INT32, name=UTF8)
+
+
+def _stream_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text whose cells go beyond lines, through the parser, one file a task."""
+    schema = Schema.of(k=INT64, t=(UTF8, True))
+    df = runtime(spark, sf_dir).dataframe(CUSTOMER).select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit('\r\n"x", '), "c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.lit("")).alias("t"))
+    path = _folder(spark, "csv")
+    write_text(df, path, csv_options(schema))
+    return _again(delimited_path_binding(path, csv_options(schema)), spark)
+
+
+_own("values_frame", _values, "SELECT k::INTEGER AS k, v, x::FLOAT AS x FROM (VALUES (1, 'a', 0.1), (2, NULL, -2.5), (2, 'é', 1e10)) AS t(k, v, x)")
+_own("source_checks", _values_of_a_scan, "SELECT * FROM (VALUES ('scan as values', 'NotValuesSource'), ('blank id', 'InvalidSourceId'), ('no id', 'NullSourceId'), ('blank name', 'InvalidSourceName'), ('no name', 'NullSourceName'), ('no order', 'NullSourceOrder')) AS t(what, code)")
+_own("sum_float32", _sum_float32, "SELECT l_returnflag, sum(l_quantity)::FLOAT AS q FROM lineitem GROUP BY 1")
+_own("dynamic_scan", _dynamic_scan, "SELECT p_partkey, p_size FROM part")
+_own("stream_union_order", _union_stream, "SELECT (row_number() OVER (ORDER BY side, name) - 1)::INTEGER AS at, name FROM (SELECT 0 AS side, r_name AS name FROM region UNION ALL SELECT 1, n_name FROM nation)")
+_own("stream_limit_budget", _limit_stream, "SELECT * FROM (VALUES (0::INTEGER, 10::INTEGER), (1, 10), (2, 3)) AS t(batch, rows)")
+_own("stream_routes", _stream_routes, "SELECT * FROM (VALUES ('filter', 'incremental'), ('limit', 'incremental'), ('union', 'incremental'), ('sort', 'materialized first'), ('distinct', 'materialized first'), ('join', 'materialized first'), ('group', 'materialized first')) AS t(frame, route)")
+_own("scan_receipts", _receipts, "SELECT kind, 'spark' AS engine, 'Auto' AS policy, 'part' AS source, 'p_partkey,p_size' AS columns, true AS pushed, 'p_partkey,p_size' AS asked FROM (VALUES ('collected'), ('streamed')) AS t(kind)")
+_own("scan_requests", _requests, "SELECT * FROM (VALUES ('limit', 'orders', NULL::INTEGER, 'o_orderkey,o_custkey'), ('below', 'orders', 5, 'o_orderkey'), ('join', 'customer', NULL, 'c_custkey,c_mktsegment'), ('join', 'orders', NULL, 'o_orderkey,o_custkey'), ('join', 'lineitem', NULL, 'l_orderkey'), ('group', 'lineitem', NULL, 'l_tax,l_returnflag')) AS t(frame, source, \"limit\", columns)")
+_own("explain_plan", _explained, "SELECT place::INTEGER AS place, line FROM (VALUES (0, 'Limit[3] Schema(r_name: Utf8)'), (1, '  Project[r_name=e1] Schema(r_name: Utf8)'), (2, '    Filter[e2] Schema(r_regionkey: Int32, r_name: Utf8)'), (3, '      Scan[region; id=region] Schema(r_regionkey: Int32, r_name: Utf8)'), (4, 'Expressions'), (5, '  e1 = column(1)'), (6, '  e2 = >(e3, e4)'), (7, '  e3 = column(0)'), (8, '  e4 = literal(Int32)')) AS t(place, line)")
+_own("table_show", _shown, "WITH r AS (SELECT r_regionkey AS k, r_name AS n, row_number() OVER (ORDER BY r_regionkey) AS i FROM region), w AS (SELECT max(len(n)) AS w FROM r WHERE i <= 4) SELECT 0::INTEGER AS at, '|r_regionkey|' || rpad('r_name', greatest(w, 6)::INTEGER, ' ') || '|' AS line FROM w UNION ALL SELECT 1, '|-----------|' || repeat('-', greatest(w, 6)::INTEGER) || '|' FROM w UNION ALL SELECT (i + 1)::INTEGER, '|' || rpad(k::VARCHAR, 11, ' ') || '|' || rpad(n, greatest(w, 6)::INTEGER, ' ') || '|' FROM r, w WHERE i <= 4 UNION ALL SELECT 6, '… +' || (count(*) - 4) || ' rows' FROM r UNION ALL SELECT * FROM (VALUES (7, 'Schema'), (8, '0. r_regionkey: Int32 required'), (9, '1. r_name: Utf8 required'))")
+_own("table_cells", _cells, "SELECT r_regionkey AS k, r_name AS by_row, r_name AS by_column, r_name AS by_class, r_regionkey AS again FROM region")
+_own("own_source", _own_source, "SELECT range AS n FROM range(51, 100)")
+_own("own_sink", _own_sink, "SELECT * FROM nation")
+_own("engine_policies", _policies, "SELECT * FROM (VALUES ('Auto', 'text', '1'), ('Auto', 'rows', '1'), ('ReferenceOnly', 'text', '1'), ('ReferenceOnly', 'rows', '1'), ('RequireColumnar', 'text', 'NotColumnar'), ('RequireColumnar', 'rows', '1')) AS t(policy, source, outcome)")
+_own("header_inspection", _headers, "SELECT place::INTEGER AS place, name FROM (VALUES (0, 'c_custkey'), (1, 'a \"name\", quoted' || chr(10) || 'and long'), (2, 'c_nationkey'), (3, 'c_acctbal'), (4, 'c_mktsegment')) AS t(place, name)")
+_own("csv_cells_beyond_lines", _stream_text, "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(13) || chr(10) || '\"x\", ' || c_mktsegment WHEN c_custkey % 3 = 1 THEN '' END AS t FROM customer")
 _own("csv_roundtrip", _csv_roundtrip, "SELECT * FROM orders")
 _own("tsv_text_roundtrip", _tsv_text_roundtrip, "SELECT * FROM nation")
 _own("csv_native_roundtrip", _csv_native, "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")

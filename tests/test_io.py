@@ -242,3 +242,82 @@ def test_random_text_round_trip(spark):
     text, _ = to_text(FrameRuntime(spark, b).dataframe(b.frame), csv_options(s))
     assert read(spark, text, s) == rows
     assert table_binding(Table.from_rows(rows, s)).collect(spark).column("a") == [r[0] for r in rows]
+
+
+def test_csv_in_splits(spark, tmp_path):
+    """Files of many splits, with and without cells that go beyond a line, are read as they are in one piece."""
+    rnd = random.Random(8)
+    s = Schema.of(id=INT32, t=(UTF8, True))
+    o = csv_options(s)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for ends in ("", "\n", "\r\n"):
+            rows = [(i, None if i % 7 == 0 else "".join(rnd.choice(f'a,"é {ends}') for _ in range(rnd.randint(1, 30)))) for i in range(3000)]
+            df = FrameRuntime(spark, b := rows_binding(rows, s, SourceRef.values("r"))).dataframe(b.frame)
+            text, _ = to_text(df, o)
+            (tmp_path / "s.csv").write_text("\ufeff" + text, newline="")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+            binding = delimited_path_binding(f"file://{tmp_path}/s.csv", o)
+            assert sorted(binding.collect(spark).rows()) == rows
+            loaded = binding.load(spark)
+            assert (loaded.rdd.getNumPartitions() > 3) == (ends == "") or ends
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "bad.csv").write_bytes(b"id,t\n1,a\n2,\xff\n")
+    with pytest.raises(SourceError) as e:
+        delimited_path_binding(f"file://{tmp_path}/bad.csv", o).collect(spark)
+    assert e.value.code == "InvalidUtf8" and "byte 11" in e.value.message
+    (tmp_path / "three.csv").write_text("id,t\n1,a\n2,b\nx,c\n")
+    with pytest.raises(SourceError) as e:
+        delimited_path_binding(f"file://{tmp_path}/three.csv", o).collect(spark)
+    assert e.value.code == "Decode" and "record 4" in e.value.message
+
+
+def test_long_and_broken_headers(spark, tmp_path):
+    long = "y\n" * 6000 + "z"
+    (tmp_path / "h.csv").write_text(f'x,"{long}"\n1,2\n')
+    assert header_names_of_path(spark, f"file://{tmp_path}/h.csv") == ["x", long]
+    fails(SourceError, "InvalidUtf8", lambda: header_names(b"a,\xff\n"))
+    assert header_names(b"a,b\n\xff") == ["a", "b"]
+
+
+def test_sources_and_sinks_of_ones_own(spark):
+    import io
+
+    from plumbframe import ArrowSink, ScanPlan, source_binding
+
+    asked = []
+
+    class Source:
+        def inspect(self, spark):
+            return Schema.of(a=INT32, b=(UTF8, True), c=FLOAT64)
+
+        def plan(self, spark, request):
+            asked.append(request)
+            df = spark.createDataFrame([(1, "x", 0.5), (2, None, 1.5), (3, "z", 2.5)], "a int, b string, c double")
+            return ScanPlan(df.select(*request.columns), request.columns, ("columns",))
+
+    binding = source_binding(spark, Source())
+    table, receipt = FrameRuntime(spark, binding).collect_with_receipt(binding.frame.filter(lambda r: r["c"] > 1.0).select("b"))
+    assert table.column("b") == [None, "z"] and asked[-1].columns == ("b", "c") and asked[-1].predicate is not None
+    assert receipt.sources[0].columns_read == ("b", "c") and receipt.sources[0].accepted == ("columns",)
+    out = io.BytesIO()
+    assert FrameRuntime(spark, binding).write(binding.frame, ArrowSink(out), 2).batches == 2
+    assert list(arrow_ipc_binding(out.getvalue()).collect(spark).rows()) == [(1, "x", 0.5), (2, None, 1.5), (3, "z", 2.5)]
+    text = delimited_binding("a\n1\n", csv_options(Schema.of(a=INT32)), SourceRef.scan("t"))
+    fails(RuntimeBindingError, "NotColumnar", lambda: FrameRuntime(spark, text, policy=EnginePolicy.REQUIRE_COLUMNAR).collect(text.frame))
+
+
+def test_zeros_are_told_apart_and_literals_reach_the_scan(spark, tmp_path):
+    s = Schema.of(x=FLOAT64)
+    b = rows_binding([(0.0,), (-0.0,), (1.0,), (-1.0,)], s, SourceRef.values("z"))
+    rt = FrameRuntime(spark, b)
+    text = lambda f: [str(r[0]) for r in rt.collect(f).rows()]
+    assert text(b.frame.sort_by("x")) == ["-1.0", "-0.0", "0.0", "1.0"]
+    assert sorted(text(b.frame.filter(lambda r: r["x"] < 0.0))) == ["-0.0", "-1.0"]
+    assert sorted(text(b.frame.filter(lambda r: r["x"] >= 0.0))) == ["0.0", "1.0"]
+    path = f"file://{tmp_path}/z"
+    spark.createDataFrame([(1.0,)], "x double").write.parquet(path)
+    p = parquet_binding(path, s, SourceRef.scan("p"))
+    assert any("GreaterThan(x,0.5)" in a for a in FrameRuntime(spark, p).collect_with_receipt(p.frame.filter(lambda r: r["x"] > 0.5))[1].sources[0].accepted)
