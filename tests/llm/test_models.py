@@ -1,12 +1,15 @@
 """Toxicity, quality and secrets: held-out accuracy on made tables, and the edges."""
 
 import inspect
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from plumbframe.llm import quality, secrets, toxicity
+from plumbframe.llm import hashing, quality, secrets, toxicity
 
 BAD = ["zorkful", "blatter", "grumpish", "snarlo", "vexnit", "plonker"]
 
@@ -64,6 +67,61 @@ def test_the_risk_stays_non_negative():
     assert m.weights[5] > 0.5 and np.mean([score(t) > 0.3 for t in unlabelled[180:]]) > 0.9 and np.mean([score(t) > 0.3 for t in unlabelled[:180]]) < 0.2
 
 
+def test_risk_and_slopes_by_hand():
+    """The risk summed text by text, and its slopes by small differences, where the second part is positive and where it isn't."""
+    rnd = np.random.default_rng(2)
+    for shift in (0.0, 6.0):
+        z_p, z_u, prior = rnd.normal(shift, 1, 7), rnd.normal(-shift, 1, 11), 0.4
+        loss = lambda z, y: math.log(1 + math.exp(-y * z))
+        first = prior * sum(loss(z, 1) for z in z_p) / 7
+        second = sum(loss(z, -1) for z in z_u) / 11 - prior * sum(loss(z, -1) for z in z_p) / 7
+        assert np.allclose(toxicity.nnpu_risk(z_p, z_u, prior), (first, second)) and (second >= 0) == (shift == 0)
+        goal = lambda a, b: sum(toxicity.nnpu_risk(a, b, prior)) if second >= 0 else -toxicity.nnpu_risk(a, b, prior)[1]  # noqa: E731, B023
+        up, down, u = toxicity.nnpu_slopes(z_p, z_u, prior)
+        step = 1e-6
+        for i in range(7):
+            e = np.eye(7)[i] * step
+            assert np.isclose((up + down)[i], (goal(z_p + e, z_u) - goal(z_p - e, z_u)) / (2 * step), atol=1e-7)
+        for i in range(11):
+            e = np.eye(11)[i] * step
+            assert np.isclose(u[i], (goal(z_p, z_u + e) - goal(z_p, z_u - e)) / (2 * step), atol=1e-7)
+
+
+def by_hand(text):
+    """The distinct buckets of a text, word by word."""
+    out = set()
+    for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        for _, data, offsets in hashing.chunks(pa.array([w.decode("utf-8", "ignore")])):
+            h, _, _, _, begin, _ = hashing.words(data, offsets, prefixes=toxicity.PREFIXES)
+            out |= {int(x) % toxicity.BUCKETS for x in (*h, *begin)}
+    return out
+
+
+def test_toxicity_scores_by_hand(spark):
+    """A score is the sum of the weights of the text's distinct buckets and the bias, whatever it shares a batch with."""
+    rnd = np.random.default_rng(4)
+    model = toxicity.LinearModel(rnd.normal(0, 0.3, toxicity.BUCKETS), -0.5)
+    texts = ["Some words, some WORDS; zorkful!", "", None, "é" * 9 + " blatter", "w " * 3000, "again\nagain", *(t for _, t, *_ in corpus(n=40)[0])]
+    got = toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1), model).collect()
+    for r in got:
+        z = sum(model.weights[b] for b in by_hand(r.text)) + model.bias
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-9), r.text
+
+
+def test_machine_scores_by_hand():
+    """Pair by pair over all inputs of a text."""
+    rnd = np.random.default_rng(5)
+    numbers, label = rnd.normal(size=(30, 3)), (rnd.random(30) < 0.5).astype(float)
+    texts = [np.unique(rnd.integers(0, 50, rnd.integers(0, 9))) for _ in range(30)]
+    fm = quality.train_machine(numbers, texts, label, np.ones(30), steps=40)
+    row = np.repeat(np.arange(30), [len(t) for t in texts])
+    got = fm.scores(numbers, row, np.concatenate(texts))
+    for i, t in enumerate(texts):
+        x = [(int(b), 1 / math.sqrt(max(len(t), 1))) for b in t] + [(quality.WORD_BUCKETS + j * (quality.RANGES + 1) + sum(c <= numbers[i, j] for c in fm.cuts[j]), 1.0) for j in range(3)]
+        z = fm.w0 + sum(fm.w[a] * v for a, v in x) + sum(float(fm.v[a] @ fm.v[b]) * v * u for k, (a, v) in enumerate(x) for b, u in x[k + 1 :])
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
 def test_quality(spark, tables):
     docs, labels, truth = corpus(2)
     d = tables(documents=docs + EDGES, labels=[*labels, (None, 1, 1), (5001, 1, 1), (5002, None, None), (labels[0])])
