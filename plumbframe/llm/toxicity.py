@@ -16,6 +16,7 @@ of the score is an error: name another.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,13 +81,13 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     place = np.full(buckets, -1, np.int32)
     place[known] = np.arange(d)
     # Each row and each column ends in one more entry, the bias, so none is empty: sums over rows and columns are sums of runs.
-    rows = [np.append(p[p >= 0], np.int32(d)) for p in (place[t] for t in (*positive, *unlabelled))]
-    begin = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
+    rows = [np.append(p[p >= 0], np.int32(d)) for p in (place[t] for t in itertools.chain(positive, unlabelled))]
+    sizes = [len(r) for r in rows]
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     column = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    by_column = row[np.argsort(column, kind="stable")]
+    del rows
+    by_column = np.repeat(np.arange(n_p + n_u, dtype=np.int32), sizes)[np.argsort(column, kind="stable")]
     column_begin = np.concatenate(([0], np.cumsum(np.bincount(column, minlength=d + 1))[:-1]))
-    del rows, row
     penalty = l1 / np.sqrt(n_p * np.bincount(column[: begin[n_p]], minlength=d + 1)[:d])
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = bias
