@@ -15,7 +15,6 @@ repeated rows are counted each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
 import json
@@ -74,15 +73,23 @@ def _all() -> list[str]:
     return [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
 
 
-@functools.cache
 def python_characters() -> Characters:
     of = lambda kind: _ranges(ord(c) for c in _all() if unicodedata.category(c)[0] == kind)
     return Characters(of("L"), of("N"), _ranges(ord(c) for c in _all() if c.isspace() and not "\x1c" <= c <= "\x1f"))
 
 
-@functools.cache
+_asked: list[Characters] = []
+
+
 def characters() -> Characters:
-    """As the tokenizers library has them, asked for each code point; where it isn't installed, as Python has them."""
+    """As the tokenizers library has them, asked for each code point, once; where it isn't installed, as Python has them."""
+    # No functools.cache, which would travel to workers by name.
+    if not _asked:
+        _asked.append(_ask())
+    return _asked[0]
+
+
+def _ask() -> Characters:
     try:
         from tokenizers import Regex, normalizers, pre_tokenizers
     except ImportError:
@@ -206,10 +213,11 @@ def counter(merges: Merges) -> Callable[[str], int]:
 def count_tokens(docs: DataFrame, merges: Merges, *, doc_id: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((merges.ranks, merges.word_end, merges.specials, merges.pattern, merges.known))  # the vocabulary: a fixed size, about 5 MB
+    sent = docs.sparkSession.sparkContext.broadcast((merges.ranks, merges.word_end, merges.specials, merges.pattern, vars(merges.known)))  # the vocabulary: a fixed size, about 5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(Merges(*sent.value))
+        *told, known = sent.value
+        count = counter(Merges(*told, Characters(**known)))
         for b in batches:
             texts = b.column("text").to_pylist()
             tokens = [count(t) if t else 0 for t in texts]
