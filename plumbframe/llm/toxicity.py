@@ -17,6 +17,7 @@ of the score is an error: name another.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,11 +63,22 @@ def buckets_of(rows: DataFrame, ids: DataFrame, *, doc_id: str = "doc_id", text:
             out: list[bytes] = []
             for _, rows_here, row, bucket in hashed_rows(b, "_text", buckets):
                 cut = np.searchsorted(row, np.arange(rows_here + 1))
-                out += [bucket[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(rows_here)]
+                # Differences of ascending numbers are small, so they come to a quarter on their way to the driver.
+                out += [zlib.compress(np.diff(bucket[cut[i] : cut[i + 1]], prepend=0).astype(np.uint32).tobytes(), 1) for i in range(rows_here)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out, pa.binary())], ["_id", "buckets"])
 
     got = some.mapInArrow(run, f"_id {some.schema['_id'].dataType.simpleString()}, buckets binary").dropDuplicates(["_id"]).orderBy("_id").collect()
-    return [np.frombuffer(r[1], np.uint32) for r in got]
+    return [np.cumsum(np.frombuffer(zlib.decompress(r[1]), np.uint32), dtype=np.uint32) for r in got]
+
+
+def _sums(values: np.ndarray, at: np.ndarray, begin: np.ndarray, together: int = 1 << 20) -> np.ndarray:
+    """Of each run of at, from begin[i] to begin[i + 1], the sum of the values there; runs are gathered a part at a time."""
+    out, i, runs = np.empty(len(begin) - 1), 0, len(begin) - 1
+    while i < runs:
+        j = min(max(i + 1, int(np.searchsorted(begin, begin[i] + together, "right")) - 1), runs)
+        out[i:j] = np.add.reduceat(values[at[begin[i] : begin[j]]], begin[i:j] - begin[i])
+        i = j
+    return out
 
 
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, buckets: int = BUCKETS, steps: int = 300, rate: float = 0.05, l1: float = 0.01) -> LinearModel:
@@ -80,22 +92,32 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     d, n_p, n_u = len(known), len(positive), len(unlabelled)
     place = np.full(buckets, -1, np.int32)
     place[known] = np.arange(d)
-    # Each row and each column ends in one more entry, the bias, so none is empty: sums over rows and columns are sums of runs.
-    rows = [np.append(p[p >= 0], np.int32(d)) for p in (place[t] for t in itertools.chain(positive, unlabelled))]
-    sizes = [len(r) for r in rows]
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    column = np.concatenate(rows)
-    del rows
-    by_column = np.repeat(np.arange(n_p + n_u, dtype=np.int32), sizes)[np.argsort(column, kind="stable")]
-    column_begin = np.concatenate(([0], np.cumsum(np.bincount(column, minlength=d + 1))[:-1]))
+    # Each row and each column ends in one more entry, the bias, so none is empty: sums over rows and columns are sums of runs. What is as long as all
+    # texts together decides the driver's memory: two arrays of 4 bytes a number, filled and sorted where they stand.
+    sizes = np.array([np.count_nonzero(place[t] >= 0) + 1 for t in itertools.chain(positive, unlabelled)])
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    column = np.full(begin[-1], d, np.int32)
+    for i, t in enumerate(itertools.chain(positive, unlabelled)):
+        p = place[t]
+        column[begin[i] : begin[i + 1] - 1] = p[p >= 0]
+    del positive, unlabelled
+    n = n_p + n_u
+    by_column = column.astype(np.uint32 if (d + 1) * n < 2**32 else np.uint64)
+    by_column *= by_column.dtype.type(n)
+    for i in range(n):
+        by_column[begin[i] : begin[i + 1]] += by_column.dtype.type(i)
+    by_column.sort()
+    by_column %= by_column.dtype.type(n)
+    held = sum(np.bincount(column[i : i + (1 << 20)], minlength=d + 1) for i in range(0, len(column), 1 << 20))
+    column_begin = np.concatenate(([0], np.cumsum(held)))
     penalty = l1 / np.sqrt(n_p * np.bincount(column[: begin[n_p]], minlength=d + 1)[:d])
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     w[d] = bias
     for t in range(1, steps + 1):
-        z = np.add.reduceat(w[column], begin)
+        z = _sums(w, column, begin)
         z_p, z_u = z[:n_p], z[n_p:]
         up, down, u = nnpu_slopes(z_p, z_u, prior)
-        g = np.add.reduceat(np.concatenate((up + down, u))[by_column], column_begin)
+        g = _sums(np.concatenate((up + down, u)), by_column, column_begin)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w = w - scale * (m / (1 - 0.9**t))
@@ -126,10 +148,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
         n, ones = known.agg(F.count(F.lit(1)), F.sum((F.col("_label") == 1).cast("long"))).first()
         prior = (ones or 0) / n if n else 0.0
     confirmed = known.filter(F.col("_label") == 1).select("_label_id").distinct()
-    p = buckets_of(docs, sampled_ids(confirmed, "_label_id", max_positive, SEED), doc_id=doc_id, text=text)
+    of = lambda ids: buckets_of(docs, ids, doc_id=doc_id, text=text)
     # Unlabelled: any text, whatever its label; the correction by the prior is for just that.
-    u = buckets_of(docs, sampled_ids(docs, doc_id, max_unlabelled, SEED + "u"), doc_id=doc_id, text=text)
-    return train_nnpu(p, u, prior)
+    samples = [of(sampled_ids(confirmed, "_label_id", max_positive, SEED)), of(sampled_ids(docs, doc_id, max_unlabelled, SEED + "u"))]
+    # Training is Python's alone: what the driver's JVM holds of the collected rows is free, and so are the lists once they are laid out.
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    return train_nnpu(samples.pop(0), samples.pop(), prior)
 
 
 def score_toxicity(docs: DataFrame, model: LinearModel, *, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
