@@ -137,6 +137,18 @@ def test_jaccard_edges(spark, tables):
     assert "node" in kept[0].asDict()
 
 
+def test_jaccard_of_near_copies_with_repeated_ids(spark, tables):
+    """A document of several rows asks a group with each of its sets, and is found with each."""
+    rnd = random.Random(1)
+    rows = []
+    for f in range(300):
+        t = family(rnd, [f"{f}_{x}" for x in prose(rnd, rnd.randint(20, 60))], rnd.randint(3, 6), 3)
+        rows += [(f * 10 + rnd.randrange(max(2, len(t) - 1)), x) for x in t]
+    got = jaccard.op8_jaccard(spark, tables(documents=rows)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == components(rows, 4, 85)
+
+
 def test_chains_become_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in jaccard.connected(edges).collect()}
