@@ -149,6 +149,22 @@ def test_jaccard_of_near_copies_with_repeated_ids(spark, tables):
     assert {r.doc_id: r.component_id for r in got} == components(rows, 4, 85)
 
 
+def test_jaccard_of_rows_without_words_and_with_repeated_ids(spark, tables):
+    """All rows of an id have its component, also those that have no shingles themselves."""
+    one, two, three = "a b c d e", "p q r s t", "k l m n o"
+    rows = [(1, one), (2, one), (2, None), (3, "  "), (3, two), (4, two), (4, ""), (5, None), (5, ""), (6, None), (7, "\t"), (7, three), (9, one), (9, two), (9, ""), (None, ""), (None, three)]
+    got = jaccard.op8_jaccard(spark, tables(documents=rows)).collect()
+    want = components(rows, 4, 85)
+    assert want == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7, 9: 1}
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == collections.Counter((i, len(shingles(t, 4)), want.get(i)) for i, t in rows)
+
+
+def test_bounds_of_very_large_sets(spark):
+    sizes = [(20, 0), (20, 3), (11_607_943, 0), (11_607_944, 0), (30_000_000, 1_000)]
+    got = spark.createDataFrame(sizes, "n int, place int").select(jaccard.furthest(85).alias("f")).collect()
+    assert [r.f for r in got] == [185 * (n - p) // 85 - n for n, p in sizes]
+
+
 def test_chains_become_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in jaccard.connected(edges).collect()}
